@@ -9,11 +9,17 @@ function; the rest stay in the JVM.
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The Arrow function below travels with its helpers, so executors need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Numbers whose digits a variant may change: fractions, exponents, long ones.
 _DIGITS_AT_RISK = r"[0-9][.eE]|[0-9]{16}"
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..spec import ColumnSpec
@@ -96,31 +96,20 @@ def quote_identifier(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def suggest(wanted: DataFrame, known: DataFrame, wanted_col: str = "wanted",
-            known_col: str = "known") -> DataFrame:
-    """For each unknown name the closest known one, if it is close enough.
+def suggestion(wanted: Column, known: Sequence[str]) -> Column:
+    """The known table or column name closest to ``wanted``, if close enough.
 
-    Close enough means an edit distance of at most a third of the longer name,
-    so lengths of a pair differ by at most that: pairs are formed by an
-    equi-join on length, over the lengths each name can still match.
+    Close enough means an edit distance of at most a third of the longer name.
+    The known names are a catalog's, so they travel in the expression: each
+    wanted name is compared where it is, without a join.
     """
-    w = wanted.select(F.col(wanted_col).alias("wanted")).distinct()
-    k = known.select(F.col(known_col).alias("known")).distinct()
-    n = F.length("wanted")
-    # distance * 3 <= max(len) bounds the other length to [ceil(2n/3), floor(3n/2)]
-    reach = w.withColumn("size", F.explode(F.sequence(F.ceil(n * 2 / 3), F.floor(n * 3 / 2))))
-    pairs = reach.join(
-        k.withColumn("size", F.length("known").cast("bigint")), "size"
-    ).withColumn("distance", F.levenshtein("wanted", "known"))
-    close = pairs.filter(
-        F.col("distance") * 3 <= F.greatest(F.length("wanted"), F.length("known"))
-    )
-    best = close.groupBy("wanted").agg(
-        F.min(F.struct("distance", "known")).alias("best")
-    )
-    return w.join(best, "wanted", "left").select(
-        "wanted", F.col("best.known").alias("suggestion"), F.col("best.distance").alias("distance")
-    )
+    scored = F.array(*[
+        F.struct(F.levenshtein(wanted, F.lit(k)).alias("distance"), F.lit(k).alias("name"),
+                 F.greatest(F.length(wanted), F.lit(len(k))).alias("size"))
+        for k in known
+    ])
+    near = F.filter(scored, lambda s: s["distance"] * 3 <= s["size"])
+    return F.array_min(near)["name"]
 
 
 def closest(name: str, known: Iterable[str]) -> str | None:
