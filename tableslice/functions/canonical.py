@@ -23,9 +23,10 @@ TRUE_WORDS = ("t", "true", "TRUE", "True", "1", "y", "yes", "on")
 FALSE_WORDS = ("f", "false", "FALSE", "False", "0", "n", "no", "off")
 NON_FINITE = r"^[+-]?(?i:nan|inf|infinity)$"
 
-BLANKS = " \t\n\u000b\f\r\u0085   　"
-INTEGER = r"^[+-]?[0-9]+$"
-NUMBER = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+BLANKS = " \t\n\u000b\f\r\u0085\u00a0\u2003\u3000"
+_PAD = f"[{BLANKS}]*"
+INTEGER = rf"^{_PAD}[+-]?[0-9]+{_PAD}$"
+NUMBER = rf"^{_PAD}[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?{_PAD}$"
 HEX = r"^(?:\\x|0x)?(?:[0-9a-fA-F]{2})*$"
 UUID = (
     r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})"
@@ -36,12 +37,20 @@ OFFSET = r"(Z|z|[+-][0-9]{1,2}(?::[0-9]{1,2}){0,2})?"
 TIME = rf"^(?:{CLOCK}|([0-9]{{1,2}}:[0-9]{{1,2}})){OFFSET}$"
 DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 STAMP = rf"^([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}})(?:[ T]{CLOCK})? ?{OFFSET}$"
+# Text a cast reads as it is: what this library and most engines write.
+PLAIN_STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?$"
 
 
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def _cast(c: Column, to) -> Column:
+    """A cast trims plain blanks by itself; only where it fails is the text
+    stripped of the others and tried again."""
+    return F.coalesce(c.try_cast(to), strip(c).try_cast(to))
+
+
 # --- typed value -> canonical text -----------------------------------------
 
 
@@ -73,7 +82,7 @@ def float_text(c: Column, exact: bool = True) -> Column:
     return F.coalesce(_shortest(F.when(long & (size < float("inf")), value)), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _shortest(values: pd.Series) -> pd.Series:
     def place(v):
         mantissa, _, power = f"{v!r}".partition("e")
@@ -147,23 +156,33 @@ def parse_bool(c: Column) -> Column:
     return F.when(t.isin(*TRUE_WORDS), True).when(t.isin(*FALSE_WORDS), False)
 
 
+def parse_int(c: Column, spec: ColumnSpec) -> Column:
+    """Through bigint and a range check: a failing cast costs far more."""
+    whole = F.when(c.rlike(INTEGER), _cast(c, "bigint"))
+    bits = spec.bits or 64
+    if bits == 64:
+        return whole
+    fits = whole.between(-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
+    return F.when(fits, whole).cast(spec.spark_type())
+
+
 def parse_float(c: Column, bits: int | None = 64) -> Column:
     t = strip(c)
     low = F.lower(F.ltrim(t, F.lit("+")))
     value = (
-        F.when(t.rlike(NON_FINITE), F.when(low.contains("nan"), F.lit(float("nan")))
-               .when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-        .when(t.rlike(NUMBER), t.try_cast("double"))
+        F.when(c.rlike(NUMBER), _cast(c, "double"))
+        .when(t.rlike(NON_FINITE), F.when(low.contains("nan"), F.lit(float("nan")))
+              .when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
     )
     return value.cast("float") if bits == 32 else value
 
 
 def parse_decimal(c: Column, spec: ColumnSpec) -> Column:
-    t = strip(c)
     held = spec.spark_type()
     if isinstance(held, T.DecimalType):
-        return F.when(t.rlike(NUMBER), t.try_cast(held))
-    return F.when(t.rlike(NUMBER) | t.isin("NaN", "nan"), t)
+        return F.when(c.rlike(NUMBER), _cast(c, held))
+    t = strip(c)
+    return F.when(c.rlike(NUMBER) | t.isin("NaN", "nan"), t)
 
 
 def parse_bytes(c: Column) -> Column:
@@ -217,7 +236,9 @@ def parse_stamp(c: Column, tz: bool) -> Column:
     shift = F.make_dt_interval(
         F.lit(0), sign * part[0], sign * part[1], (sign * part[2]).cast(T.DecimalType(18, 6))
     )
-    utc = F.when(t.rlike(STAMP), local.try_cast("timestamp_ntz") + shift)
+    utc = F.when(c.rlike(PLAIN_STAMP), c.try_cast("timestamp_ntz")).when(
+        t.rlike(STAMP), local.try_cast("timestamp_ntz") + shift
+    )
     return utc.cast("timestamp") if tz else utc
 
 
@@ -227,8 +248,7 @@ def parse_text(c: Column, spec: ColumnSpec) -> Column:
     if k == "bool":
         return parse_bool(c)
     if k == "int":
-        t = strip(c)
-        return F.when(t.rlike(INTEGER), t.try_cast(spec.spark_type()))
+        return parse_int(c, spec)
     if k == "float":
         return parse_float(c, spec.bits)
     if k == "decimal":

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The Arrow function below travels with its helpers, so executors need not have
 # this package installed.
@@ -72,7 +73,7 @@ def render_json(text: str, indent: int | None = None, depth: int = 0) -> str | N
     return _dump(value, indent, depth)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _exact(texts: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(texts), dtype=object)
     held = texts.notna().to_numpy()

@@ -227,7 +227,7 @@ def narrowing_impact(df: DataFrame, old: TableSpec, new: TableSpec) -> DataFrame
     ]
     aggs = []
     for was, now in changed:
-        text = to_text(col(was.name), was, df.schema[was.name].dataType)
+        text = to_text(col(was.name), was, df.schema[was.name].dataType, exact=False)
         bad = F.coalesce(parse_failed(text, now), F.lit(False))
         if now.kind == "text" and now.max_len is not None:
             bad = bad | F.coalesce(F.char_length(text) > now.max_len, F.lit(False))
