@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,13 +66,13 @@ def float_text(c: Column, exact: bool = True) -> Column:
     raw = c.cast("string")
     value = raw.cast("double")
     size = F.abs(value)
-    # An exponent in the JVM's text, but not in ours.
-    spread = F.when(size < 1, raw.cast(T.DecimalType(38, 30)).cast("string")).otherwise(
-        raw.cast(T.DecimalType(38, 21)).cast("string")
-    )
+    # An exponent in the JVM's text, but not in ours: 16 digits before the point
+    # and 22 after it hold every such double's text.
+    spread = raw.cast(T.DecimalType(38, 22)).cast("string")
     text = (
-        F.when(~raw.contains("E"), F.regexp_replace(raw, r"\.0$", ""))
-        .when(size.between(1e-5, 1e16) & (size < 1e16), F.regexp_replace(spread, r"\.?0+$", ""))
+        F.when(~raw.contains("E"), F.when(
+            raw.endswith(".0"), F.left(raw, F.length(raw) - 2)).otherwise(raw))
+        .when((size >= 1e-5) & (size < 1e16), F.regexp_replace(spread, r"\.?0+$", ""))
         .otherwise(F.regexp_replace(raw, r"(?:\.0)?E", "e"))
     )
     if not exact:
@@ -82,8 +82,8 @@ def float_text(c: Column, exact: bool = True) -> Column:
     return F.coalesce(_shortest(F.when(long & (size < float("inf")), value)), text)
 
 
-@F.pandas_udf(T.StringType())
-def _shortest(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _shortest(values: pa.Array) -> pa.Array:
     def place(v):
         mantissa, _, power = f"{v!r}".partition("e")
         if not power:
@@ -93,10 +93,9 @@ def _shortest(values: pd.Series) -> pd.Series:
             return f"{sign}0.0000{digits}"
         return f"{mantissa}e{int(power)}"
 
-    out = pd.Series([None] * len(values), dtype=object)
-    held = values.notna().to_numpy()
-    out[held] = [place(v) for v in values[held]]
-    return out
+    if values.null_count == len(values):
+        return pa.nulls(len(values), pa.string())
+    return pa.array([None if v is None else place(v) for v in values.to_pylist()], pa.string())
 
 
 def stamp_text(c: Column, tz: bool) -> Column:

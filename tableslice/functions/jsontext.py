@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,12 +73,12 @@ def render_json(text: str, indent: int | None = None, depth: int = 0) -> str | N
     return _dump(value, indent, depth)
 
 
-@F.pandas_udf(T.StringType())
-def _exact(texts: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(texts), dtype=object)
-    held = texts.notna().to_numpy()
-    out[held] = [render_json(t) for t in texts[held]]
-    return out
+@F.arrow_udf(T.StringType())
+def _exact(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), pa.string())
+    return pa.array(
+        [None if t is None else render_json(t) for t in texts.to_pylist()], pa.string())
 
 
 def canonical_json(c: Column, exact: bool = True) -> Column:

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Settings that change results: timestamps are read and written in UTC."""
+    """Settings results and speed depend on.
+
+    Timestamps are read and written in UTC.  Projections that render many
+    columns as text can outgrow the 8000 bytes of bytecode the JVM compiles;
+    past that Spark is told to generate smaller methods instead.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
