@@ -308,23 +308,41 @@ def read_documents(spark: SparkSession, path: str, column: str = "doc") -> DataF
 
 
 def read_objects(spark: SparkSession, root: str, prefix: str = "",
-                 max_bytes: int | None = None) -> DataFrame:
+                 max_bytes: int | None = None, empty: bool = True) -> DataFrame:
     """``path, length, content`` of every object below ``root``.
 
     Path and length are known from the listing; a job that does not use
     ``content`` reads no bytes.  ``max_bytes`` leaves larger objects out before
     their content is read; check ``object_violations`` first to refuse them.
+    Spark's file readers pass over empty files, so their names are listed
+    beside; ``empty=False`` saves that listing where there are none.
     """
     base = f"{root.rstrip('/')}/{prefix.strip('/')}" if prefix else root
     files = pin_session(spark).read.format("binaryFile").option(
-        "recursiveFileLookup", "true").load(base)
+        "recursiveFileLookup", "true").load(base).select("path", "length", "content")
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
+    if empty and (names := _empty_files(spark, base)):
+        none = spark.createDataFrame([(n,) for n in names], "path string")
+        files = files.unionByName(none.select(
+            "path", F.lit(0).cast("bigint").alias("length"), F.unhex(F.lit("")).alias("content")))
     plain = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     key = F.regexp_replace("path", "^.*?" + _literal(plain) + "/", "")
     return files.select(key.alias("path"), "length", "content")
 
 
+def _empty_files(spark: SparkSession, base: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, walk = [], fs.listFiles(at, True)
+    while walk.hasNext():
+        status = walk.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and not name.startswith((".", "_")):
+            found.append(status.getPath().toString())
+    return found
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
