@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import comparison_text
 from ..spec import SliceSpec, TableSpec, merge_key
-from .slicing import col
+from .slicing import col, touched_rows
 
 DIFF_SCHEMA = (
     "key array<string>, change string, "
@@ -47,9 +47,11 @@ def row_diff(seed: DataFrame, live: DataFrame, spec: TableSpec, slc: SliceSpec |
     if not key or any(k not in seed.columns for k in key):
         return None
     names = list(seed.columns)
+    how = "full_outer" if slc.load == "truncate_first" else "left_outer"
+    if how == "left_outer" and not any(spec.require(k, "key").nullable for k in key):
+        live = touched_rows(live, seed, key)
     left = _compared(seed, spec, names, "s_", exact)
     right = _compared(live, spec, names, "l_", exact)
-    how = "full_outer" if slc.load == "truncate_first" else "left_outer"
     pairs = left.join(
         right, [F.col(f"`s_{k}`").eqNullSafe(F.col(f"`l_{k}`")) for k in key], how
     )
@@ -86,7 +88,7 @@ def removed_keys(seed: DataFrame, live: DataFrame, spec: TableSpec,
                  slc: SliceSpec | None = None) -> DataFrame:
     """Live key tuples the seed does not hold; only keys are read."""
     key = merge_key(spec, slc)
-    have = seed.select(*[col(k).alias(f"__{k}") for k in key]).distinct()
+    have = seed.select(*[col(k).alias(f"__{k}") for k in key])
     cond = [col(k).eqNullSafe(F.col(f"`__{k}`")) for k in key]
     return live.select(*[col(k) for k in key]).join(have, cond, "left_anti")
 

@@ -18,7 +18,7 @@ from ..session import cut
 from ..spec import SchemaSpec, SliceSpec, TableSpec, UniqueKey, merge_key
 from .refs import check_references
 from .rowindex import row_index
-from .slicing import col, total_order
+from .slicing import col, is_small, total_order, touched_rows
 
 
 def _align(seed: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
@@ -41,21 +41,28 @@ def _nullable(spec: TableSpec, key: Sequence[str]) -> bool:
 
 
 def _upsert_on(target: DataFrame, seed: DataFrame, spec: TableSpec, key: Sequence[str]) -> DataFrame:
-    """Full outer join on a key no row has a null in."""
+    """Upsert on a key that holds no null and repeats on neither side.
+
+    A seed Spark would broadcast is joined to the target from the right, so the
+    target is not shuffled; the new rows are found by keys alone.  A large seed
+    meets the target in one full outer join.
+    """
     seeded = [n for n in target.columns if n in seed.columns and n not in key]
-    t = target.withColumn("__in_target", F.lit(True)).alias("t")
+    small = is_small(seed)
     s = seed.select(
         *[col(k) for k in key], *[col(n).alias(f"__s_{n}") for n in seeded],
         F.lit(True).alias("__in_seed"),
     )
-    joined = t.join(s, list(key), "full_outer")
-    return joined.select(*[
-        col(n) if n in key
-        else F.when(F.col("__in_seed"), col(f"__s_{n}").cast(target.schema[n].dataType))
-        .otherwise(col(n)).alias(n) if n in seeded
-        else col(n)
+    joined = target.join(s, list(key), "left_outer" if small else "full_outer")
+    merged = joined.select(*[
+        F.when(F.col("__in_seed"), col(f"__s_{n}").cast(target.schema[n].dataType))
+        .otherwise(col(n)).alias(n) if n in seeded else col(n)
         for n in target.columns
     ])
+    if not small:
+        return merged
+    known = touched_rows(target.select(*[col(k) for k in key]), seed, key)
+    return merged.unionByName(_align(seed.join(known, list(key), "left_anti"), target, spec))
 
 
 def merge_upsert(target: DataFrame, seed: DataFrame, spec: TableSpec,
@@ -98,7 +105,7 @@ def _constraints(spec: TableSpec, columns: Sequence[str]) -> list[UniqueKey]:
 
 def _covered(df: DataFrame, key: UniqueKey) -> DataFrame:
     rows = df.filter(F.expr(f"({key.predicate})")) if key.partial else df
-    return rows.dropna("any", subset=list(key.columns))
+    return rows.filter(~_any_null(key.columns))
 
 
 def conflicts(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:
@@ -158,7 +165,8 @@ def new_rows(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:
 def _without(rows: DataFrame, taken: DataFrame, key: UniqueKey) -> DataFrame:
     """Rows whose value of ``key`` is not in ``taken``; uncovered rows stay."""
     names = list(key.columns)
-    have = _covered(taken, key).select(*[col(n).alias(f"__{n}") for n in names]).distinct()
+    taken = touched_rows(_covered(taken, key), rows, names)
+    have = taken.select(*[col(n).alias(f"__{n}") for n in names])
     cond = [col(n) == col(f"__{n}") for n in names]
     if key.partial:
         cond.append(F.coalesce(F.expr(f"({key.predicate})"), F.lit(False)))

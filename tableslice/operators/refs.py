@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ClosureNotSettled
@@ -19,24 +19,32 @@ DEFAULT_MAX_DEPTH = 10
 EXAMPLES = 3
 
 
+def _tuples(df: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Key tuples without a null, under other names."""
+    held = reduce(Column.__and__, [col(c).isNotNull() for c in columns])
+    return df.filter(held).select(*[col(c).alias(n) for c, n in zip(columns, names)])
+
+
 def fk_keys(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """Distinct key tuples; a null in any part means "no reference".
 
     Distinct before anything else: a parent that a third of all rows point at
     becomes one row already on the map side.
     """
-    names = names or columns
-    return (
-        df.select(*[col(c).alias(n) for c, n in zip(columns, names)]).dropna("any").distinct()
-    )
+    return _tuples(df, columns, names or columns).distinct()
 
 
 def missing_keys(child: DataFrame, parent: DataFrame | None, fk: ForeignKey) -> DataFrame:
-    """Child key tuples without a parent row, named like the parent's columns."""
+    """Child key tuples without a parent row, named like the parent's columns.
+
+    The referenced columns are unique in the parent, so that side needs no
+    distinct.
+    """
     wanted = fk_keys(child, fk.columns, fk.ref_columns)
     if parent is None:
         return wanted
-    return wanted.join(fk_keys(parent, fk.ref_columns), list(fk.ref_columns), "left_anti")
+    have = _tuples(parent, fk.ref_columns, fk.ref_columns)
+    return wanted.join(have, list(fk.ref_columns), "left_anti")
 
 
 DANGLING_SCHEMA = (
@@ -69,10 +77,11 @@ def dangling_keys(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def check_references(tables: Mapping[str, DataFrame], schema: SchemaSpec) -> DataFrame:
+def check_references(tables: Mapping[str, DataFrame], schema: SchemaSpec,
+                     examples: int = EXAMPLES) -> DataFrame:
     """Foreign keys the given rows do not satisfy: how many, and a few values.
 
-    The three smallest values are kept by a limit that runs in every map task
+    The smallest values are kept by a limit that runs in every map task
     before the shuffle, so no task ever holds a foreign key's full set.
     """
     fk_id = ["child", "columns", "parent", "ref_columns", "parent_in_slice"]
@@ -81,10 +90,12 @@ def check_references(tables: Mapping[str, DataFrame], schema: SchemaSpec) -> Dat
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], DANGLING_SCHEMA)
     counts = rows.groupBy(*fk_id).agg(F.count(F.lit(1)).alias("missing"))
+    if not examples:
+        return counts.withColumn("examples", F.array().cast("array<string>"))
     rank = F.row_number().over(Window.partitionBy(*fk_id).orderBy("key"))
     smallest = (
         rows.withColumn("rank", rank)
-        .filter(F.col("rank") <= EXAMPLES)
+        .filter(F.col("rank") <= examples)
         .groupBy(*fk_id)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("kept"))
     )

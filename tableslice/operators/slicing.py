@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,16 +72,20 @@ def cut_table(df: DataFrame, spec: TableSpec, slc: SliceSpec, ordered: bool = Fa
     return select_columns(rows, spec, slc)
 
 
-def key_filter(df: DataFrame, keys: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
+def key_filter(df: DataFrame, keys: DataFrame, on: Sequence[tuple[str, str]],
+               distinct: bool = True) -> DataFrame:
     """Rows whose key tuple is among ``keys``; a null in a tuple matches nothing.
 
     ``on`` pairs a column of ``df`` with one of ``keys``.  The key side is made
-    distinct first, so each key crosses the network once.  Spark broadcasts it
+    distinct first, so each key crosses the network once (``distinct=False`` where
+    it is known to be).  Spark broadcasts it
     when it is measured to be small; beyond that the rows are shuffled, and a
     hot key's rows are split by the skew handling semi joins have.
     """
-    right = keys.select(*[col(k).alias(f"__k{i}") for i, (_, k) in enumerate(on)]).dropna()
-    right = right.distinct()
+    right = keys.select(*[col(k).alias(f"__k{i}") for i, (_, k) in enumerate(on)])
+    if distinct:
+        right = right.filter(reduce(Column.__and__, [col(c).isNotNull() for c in right.columns]))
+        right = right.distinct()
     cond = [col(c) == F.col(f"__k{i}") for i, (c, _) in enumerate(on)]
     return df.join(right, cond, "left_semi")
 
@@ -93,3 +98,26 @@ def align_to_spec(df: DataFrame, spec: TableSpec) -> DataFrame:
         (col(c.name) if c.name in df.columns else F.lit(None)).cast(c.spark_type()).alias(c.name)
         for c in spec.columns
     ])
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate lets it broadcast ``df``.
+
+    The estimate comes from file sizes and does not count on filters, so it
+    errs on the large side.
+    """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 < limit and int(str(size)) <= limit
+
+
+def touched_rows(big: DataFrame, small: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``small``, if that is cheap to ask.
+
+    With a small side Spark filters ``big`` by a broadcast, so a little seed
+    never makes a huge table move; otherwise ``big`` is returned whole and the
+    join that follows does the work.
+    """
+    keys = small.select(*[col(k) for k in key])
+    return key_filter(big, keys, [(k, k) for k in key], distinct=False) if is_small(keys) else big
