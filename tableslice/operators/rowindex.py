@@ -13,8 +13,23 @@ from .slicing import col
 _IN_PARTITION = (1 << 33) - 1
 
 
-def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
-    """Number the rows 1, 2, ... in ``order``.
+def sort_rows(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame:
+    """A distributed sort that also spreads rows which are copies of each other.
+
+    Equal sort keys all go to one task.  Under a total order only copies are
+    equal, and which copy comes first does not matter; so without a key that
+    rules copies out (``unique``) the rows are pinned in the checkpoint folder
+    and their place there breaks the tie, the same on every retry.
+    """
+    if unique:
+        return df.orderBy(*order)
+    pinned = cut(df).withColumn("__tie", F.monotonically_increasing_id())
+    return pinned.orderBy(*order, F.col("__tie")).drop("__tie")
+
+
+def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index",
+              unique: bool = False) -> DataFrame:
+    """Number the rows 1, 2, ... in ``order``; ``unique`` says no two rows tie.
 
     A distributed sort gives every row a partition and a place in it; a count
     per partition gives each partition's offset.  The sorted rows are written
@@ -23,7 +38,7 @@ def row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -
     sort partition, which is what bounds the window and the broadcast below.
     """
     ordered = cut(
-        df.orderBy(*order).select(
+        sort_rows(df, order, unique).select(
             "*",
             F.spark_partition_id().alias("__part"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias("__place"),

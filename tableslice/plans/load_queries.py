@@ -120,7 +120,7 @@ def _(t: Sample):
 
 @query("insert_conflicts", f"""WITH {SEED_SQL}
 SELECT 'orders' AS "table", '(o_orderkey)' AS "constraint", CAST(o_orderkey AS VARCHAR) AS key,
-  1 AS seed_rows, true AS in_target
+  CAST(1 AS BIGINT) AS seed_rows, true AS in_target
 FROM seed WHERE o_orderkey IN (SELECT o_orderkey FROM orders)
 """)
 def _(t: Sample):

@@ -12,8 +12,11 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
     Timestamps are read and written in UTC.  Projections that render many
     columns as text can outgrow the 8000 bytes of bytecode the JVM compiles;
-    past that Spark is told to generate smaller methods instead.
+    past that Spark is told to generate smaller methods instead.  Adaptive
+    execution is what splits the rows of a hot key in a join.
     """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark

@@ -13,7 +13,7 @@ from ..errors import SpecError
 from ..functions.canonical import canonicalize, parse_canonical, swap_bool_number, to_text
 from ..functions.jsontext import embed, is_json, quote
 from ..functions.names import BARE_NUMBER, csv_field, quote_identifier, slug, sql_literal
-from ..operators.rowindex import rank_in_group, row_index
+from ..operators.rowindex import rank_in_group, row_index, sort_rows
 from ..operators.slicing import col, total_order
 from ..session import pin_session
 from ..spec import ColumnSpec, SliceSpec, TableSpec, merge_key
@@ -66,7 +66,12 @@ def csv_row(df: DataFrame, spec: TableSpec, exact: bool = True) -> Column:
 
 
 def _ordered(df: DataFrame, spec: TableSpec, slc: SliceSpec | None) -> DataFrame:
-    return df.orderBy(*total_order(spec, slc or _of(df, spec)))
+    return sort_rows(df, total_order(spec, slc or _of(df, spec)), _has_key(df, spec))
+
+
+def _has_key(df: DataFrame, spec: TableSpec) -> bool:
+    """Whether the rows carry a primary key, so that no two are equal."""
+    return bool(spec.primary_key) and set(spec.primary_key) <= set(df.columns)
 
 
 def _of(df: DataFrame, spec: TableSpec) -> SliceSpec:
@@ -223,7 +228,7 @@ def sql_insert_lines(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = Non
         quote_identifier(spec.name), ", ".join(quote_identifier(c) for c in df.columns)
     )
     end = conflict_clause(spec, df.columns, slc) + ";"
-    numbered = row_index(df, total_order(spec, slc))
+    numbered = row_index(df, total_order(spec, slc), unique=_has_key(df, spec))
     last = numbered.agg(F.max("row_index").alias("last")).select("last", F.lit(1).alias("one"))
     n = F.col("row_index")
     opens = (n - 1) % batch == 0

@@ -136,3 +136,13 @@ def test_digest_ignores_partitions_and_order_but_nothing_else(spark):
     a = spark.createDataFrame([("a|1:b", None)], "x string, y string")
     b = spark.createDataFrame([("a", "b")], "x string, y string")
     assert table_digest(a).first() != table_digest(b).first()
+
+
+def test_copies_of_one_row_are_spread_over_tasks(spread):
+    df = spread.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")).repartition(8)
+    got = row_index(df, [F.col("k").asc()])
+    assert got.agg(F.min("row_index"), F.max("row_index"), F.countDistinct("row_index")).first()[:] == (1, 9000, 9000)
+    assert got.filter("k = -1").agg(F.max("row_index")).first()[0] == 3000
+    tasks = got.filter("k = -1").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
