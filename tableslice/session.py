@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there.
+    """Write ``df`` to the checkpoint folder and continue from what was written.
 
     Loops need it so that their plans do not grow with the rounds, and two-pass
-    jobs so that both passes see the same partitions.  The files are on shared
-    storage, so losing an executor loses nothing.
+    jobs so that both passes see the same rows in the same places.  A written
+    table is computed once (a checkpoint is computed for its count and again
+    for its files), is read back by column, and has a known size, so Spark can
+    choose to broadcast a small one.  The files are on shared storage: losing an
+    executor loses nothing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
