@@ -12,6 +12,8 @@ from .shared import WORD
 
 #: Hex digits of the draw that name a slice of a source: 4096 slices.
 SLICE = 3
+#: Documents that may follow the border to come nearer to a target.
+FITS = 3
 
 
 def n_words(text: Column) -> Column:
@@ -67,8 +69,9 @@ def draws(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -
 
     A source is taken whole as often as it fits into its target.  The rest is
     filled by documents in the order of a seeded draw (MD5 of seed and id), up to
-    the one that would pass the target, and one later document, the one whose
-    size comes nearest to what is then missing, if that brings the source nearer.
+    the one that would pass the target, then ``FITS`` times by the largest later
+    document that still fits, and last by the one whose size is nearest to what
+    is missing, if that brings the source nearer.
 
     No source is sorted as a whole: sizes are summed per slice of the draw, the
     slice that holds the border is found from the sums, and only its documents
@@ -106,24 +109,33 @@ def draws(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -
         .groupBy("source").agg(F.min_by("draw", F.struct("upto", "draw")).alias("stop"))
     )
     goals = goals.join(stop, "source", "left")
-    got = (
+    state = cut(
         sized.join(goals.select("source", "stop", "need"), "source").groupBy("source", "need", "stop")
         .agg(F.coalesce(F.sum(F.when(F.col("draw") < F.col("stop"), F.col("size"))), F.lit(0)).alias("got"))
-        .select("source", "stop", (F.col("need") - F.col("got")).alias("gap"))
+        .filter("stop IS NOT NULL")
+        .select("source", "stop", (F.col("need") - F.col("got")).alias("gap"),
+                F.array().cast("array<string>").alias("extra"))
     )
-    off = F.abs(F.col("gap") - F.col("size"))
-    extra = (
-        sized.join(got, "source").filter((F.col("draw") >= F.col("stop")) & (off < F.col("gap")))
-        .groupBy("source").agg(F.min(F.struct(off.alias("off"), "draw"))["draw"].alias("extra"))
-    )
-    return sized, cut(goals.join(extra, "source", "left").select(
+    for k in range(FITS + 1):
+        reach = F.col("gap") if k < FITS else 2 * F.col("gap") - 1
+        order = F.col("size") if k < FITS else -F.abs(F.col("gap") - F.col("size"))
+        fits = (F.col("draw") >= F.col("stop")) & F.col("size").between(F.lit(1), reach)
+        best = (
+            sized.join(state, "source").filter(fits & ~F.array_contains("extra", F.col("draw")))
+            .groupBy("source").agg(F.max(F.struct(order.alias("o"), "draw", "size")).alias("best"))
+        )
+        state = cut(state.join(best, "source", "left").select(
+            "source", "stop", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+            F.concat("extra", F.array_compact(F.array("best.draw"))).alias("extra"),
+        ))
+    return sized, cut(goals.join(state.select("source", "extra"), "source", "left").select(
         "source", "source_size", "target", "whole", "stop", "extra"
     ))
 
 
 def _times() -> Column:
     part = F.coalesce(F.col("draw") < F.col("stop"), F.lit(False)) | F.coalesce(
-        F.col("draw") == F.col("extra"), F.lit(False)
+        F.array_contains("extra", F.col("draw")), F.lit(False)
     )
     return F.col("whole") + part.cast("long")
 
@@ -159,8 +171,15 @@ def repeat(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int
     ).select(*[F.col(f"__row.`{c}`") for c in docs.columns])
 
 
+_FIT_SQL = """,
+e{k} AS (SELECT source, max(({order}, draw, size)) AS best FROM run JOIN g{j} USING (source)
+         WHERE draw >= stop AND size BETWEEN 1 AND {reach} AND NOT list_contains(extra, draw) GROUP BY source),
+g{k} AS (SELECT source, stop, gap - coalesce(best[3], 0) AS gap,
+                CASE WHEN best IS NULL THEN extra ELSE list_append(extra, best[2]) END AS extra
+         FROM g{j} LEFT JOIN e{k} USING (source))"""
+
 #: The same for ``documents`` in another engine: weights 1, 2, 3, three epochs, seed 7.
-MIX_SQL = r"""
+_MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -184,13 +203,20 @@ run AS (SELECT s.*, e.source_size, e.target, e.whole, e.target - e.whole * e.sou
                  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
         FROM sized s JOIN epochs e USING (source)),
 stops AS (SELECT source, min(draw) AS stop FROM run WHERE upto > need GROUP BY source),
-gaps AS (SELECT source, any_value(need) - coalesce(sum(CASE WHEN draw < stop THEN size END), 0) AS gap
-         FROM run JOIN stops USING (source) GROUP BY source),
-extras AS (SELECT source, arg_min(draw, (abs(gap - size), draw)) AS extra
-           FROM run JOIN stops USING (source) JOIN gaps USING (source)
-           WHERE draw >= stop AND abs(gap - size) < gap GROUP BY source)
+g0 AS (SELECT source, stop, any_value(need) - coalesce(sum(CASE WHEN draw < stop THEN size END), 0) AS gap,
+              []::VARCHAR[] AS extra
+       FROM run JOIN stops USING (source) GROUP BY source, stop){extras}
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN coalesce(draw < stop, false) OR coalesce(draw = extra, false)
+       (size * (whole + CASE WHEN coalesce(draw < stop, false) OR coalesce(list_contains(extra, draw), false)
                              THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM run LEFT JOIN stops USING (source) LEFT JOIN extras USING (source)
+FROM run LEFT JOIN (SELECT source, stop, extra FROM g{fits}) USING (source)
 """
+
+
+def mix_sql(documents: str = "documents") -> str:
+    extras = "".join(
+        _FIT_SQL.format(j=k, k=k + 1, order="size" if k < FITS else "-abs(gap - size)",
+                        reach="gap" if k < FITS else "2 * gap - 1")
+        for k in range(FITS + 1)
+    )
+    return _MIX_SQL.format(documents=documents, extras=extras, fits=FITS + 1)

@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from .mixing import MIX_SQL, mix  # noqa: E402
+from .mixing import mix, mix_sql  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
 
 
@@ -35,6 +35,6 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op4_mix_sources", MIX_SQL.format(documents="documents"))
+@query("op4_mix_sources", mix_sql())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))

@@ -44,14 +44,14 @@ def test_targets_and_taken_words(spark):
     rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     got = mixing.mix(docs).collect()
     for had, want in check(rows, got).values():
-        assert abs(had - want) <= 0.02 * want  # some fifty documents a source here
+        assert abs(had - want) <= 0.03 * want  # some fifty documents a source here
     assert sorted(got) == sorted(mixing.mix(docs.repartition(5)).collect())
 
 
 def test_sql_agrees(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert compare(mixing.mix(docs), duck(folder), mixing.MIX_SQL.format(documents="documents")) is None
+    assert compare(mixing.mix(docs), duck(folder), mixing.mix_sql()) is None
 
 
 def test_capped_sources_and_odd_rows(spark):
