@@ -27,7 +27,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 from .mixing import mix, mix_sql  # noqa: E402
+from .packing import pack_digests  # noqa: E402
+from .pii import pseudonymize  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
+from .tokens import record_digests  # noqa: E402
+
+
+def tokenizer_file() -> str:
+    """The contract's tokenizer: lower case, white space dropped, so words encode alone."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+END_ID = 2
 
 
 @query("op3_simhash_trie")
@@ -38,3 +51,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_mix_sources", mix_sql())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
+
+
+@query("op8_token_records")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return record_digests(table(spark, folder, "documents"), tokenizer_file(), END_ID, by_words=True)
+
+
+@query("op9_pack_differencing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_digests(table(spark, folder, "documents"), tokenizer_file(), END_ID, by_words=True)
+
+
+@query("op10_feistel_pseudonyms")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymize(table(spark, folder, "documents")).select("doc_id", "text")
