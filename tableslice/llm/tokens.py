@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: Words a tokenizer remembers in a worker before it starts anew.
-MEMO = 300_000
+MEMO = 400_000
 #: A record file is closed once it is this large.
 FILE_BYTES = 64 << 20
 
@@ -38,12 +38,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
+        probes = [b"a", b"the", b"zqxjv", b"thoughtlessness", b"abcdefghijklmnopqrstuvwxyz"]
+        self.direct = by_words and [self._plain(w) for w in probes] == self._encode([w.decode() for w in probes])
         self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, encoded as one text and parted by where each token starts."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ends = np.searchsorted(begins, np.cumsum(lengths)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
+    def _plain(self, word: bytes) -> bytes:
+        """Ids of a word of small ASCII letters, which no step before the model changes."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word.decode())])
+
     def __call__(self, text: bytes) -> bytes:
         if not self.by_words:
             return self._encode([text.decode("utf-8", "replace")])[0]
@@ -69,8 +85,12 @@ class Encoder:
                     low, end = low[:-1], low[-1:]
             roots[w] = (low, end)
         new = sorted({x for pair in roots.values() for x in pair if x and x not in memo})
-        for w, ids in zip(new, self._encode([w.decode("utf-8", "replace") for w in new])):
-            memo[w] = ids
+        if self.direct:
+            plain = [w for w in new if w.isalpha() and w.islower()]
+            memo.update((w, self._plain(w)) for w in plain)
+            new = [w for w in new if w not in memo]
+        if new:
+            memo.update(zip(new, self._encode_words(new)))
         for w, (low, end) in roots.items():
             if w not in memo:
                 memo[w] = memo[low] + memo[end] if end else memo[low]
