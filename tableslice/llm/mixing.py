@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
 
 
 def draws(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One row per document and one per source that together say how often each is taken.
+    """One row per document, and one per source and slice, that say how often each is taken.
 
     A source is taken whole as often as it fits into its target.  The rest is
     filled by documents in the order of a seeded draw (MD5 of seed and id), up to
@@ -75,15 +75,14 @@ def draws(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -
 
     No source is sorted as a whole: sizes are summed per slice of the draw, the
     slice that holds the border is found from the sums, and only its documents
-    are ordered.
+    are ordered.  Joins are on source and slice, so that a source with a third of
+    all rows is dealt over 4096 keys.
     """
     sized = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("source"),
         n_words(F.col("text").cast("string")).alias("size"), _draw(F.col("doc_id"), seed).alias("draw"),
-    ))
-    slices = sized.groupBy("source", F.substring("draw", 1, SLICE).alias("slice")).agg(
-        F.sum("size").alias("slice_size")
-    )
+    ).withColumn("slice", _slice(F.col("draw"))))
+    slices = cut(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")))
     sizes = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     goals = targets(sizes, weights, max_epochs)
     whole = F.when(
@@ -104,33 +103,48 @@ def draws(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -
         Window.unboundedPreceding, Window.currentRow
     )
     stop = (
-        sized.withColumn("slice", F.substring("draw", 1, SLICE)).join(border, ["source", "slice"])
+        sized.join(border, ["source", "slice"])
         .withColumn("upto", F.col("base") + F.sum("size").over(inside)).filter("upto > need")
         .groupBy("source").agg(F.min_by("draw", F.struct("upto", "draw")).alias("stop"))
     )
     goals = goals.join(stop, "source", "left")
-    state = cut(
-        sized.join(goals.select("source", "stop", "need"), "source").groupBy("source", "need", "stop")
+    gaps = (
+        _by_slice(slices, goals.select("source", "stop", "need")).join(sized, ["source", "slice"])
+        .filter("stop IS NOT NULL").groupBy("source", "slice", "need", "stop")
         .agg(F.coalesce(F.sum(F.when(F.col("draw") < F.col("stop"), F.col("size"))), F.lit(0)).alias("got"))
-        .filter("stop IS NOT NULL")
-        .select("source", "stop", (F.col("need") - F.col("got")).alias("gap"),
-                F.array().cast("array<string>").alias("extra"))
+        .groupBy("source", "need", "stop").agg(F.sum("got").alias("got"))
     )
+    state = cut(gaps.select(
+        "source", "stop", (F.col("need") - F.col("got")).alias("gap"),
+        F.array().cast("array<string>").alias("extra"),
+    ))
     for k in range(FITS + 1):
         reach = F.col("gap") if k < FITS else 2 * F.col("gap") - 1
         order = F.col("size") if k < FITS else -F.abs(F.col("gap") - F.col("size"))
         fits = (F.col("draw") >= F.col("stop")) & F.col("size").between(F.lit(1), reach)
         best = (
-            sized.join(state, "source").filter(fits & ~F.array_contains("extra", F.col("draw")))
-            .groupBy("source").agg(F.max(F.struct(order.alias("o"), "draw", "size")).alias("best"))
+            _by_slice(slices, state).join(sized, ["source", "slice"])
+            .filter(fits & ~F.array_contains("extra", F.col("draw")))
+            .groupBy("source", "slice").agg(F.max(F.struct(order.alias("o"), "draw", "size")).alias("best"))
+            .groupBy("source").agg(F.max("best").alias("best"))
         )
         state = cut(state.join(best, "source", "left").select(
             "source", "stop", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
             F.concat("extra", F.array_compact(F.array("best.draw"))).alias("extra"),
         ))
-    return sized, cut(goals.join(state.select("source", "extra"), "source", "left").select(
+    goals = goals.join(state.select("source", "extra"), "source", "left").select(
         "source", "source_size", "target", "whole", "stop", "extra"
-    ))
+    )
+    return sized, cut(_by_slice(slices, goals))
+
+
+def _slice(draw: Column) -> Column:
+    return F.substring(draw, 1, SLICE)
+
+
+def _by_slice(slices: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Rows of a source repeated for its slices, so that no join brings a whole source together."""
+    return slices.select("source", "slice").join(per_source, "source")
 
 
 def _times() -> Column:
@@ -151,7 +165,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     gives an empty result; other columns are ignored.  Reruns agree.
     """
     sized, goals = draws(docs, weights, max_epochs, seed)
-    return sized.join(goals, "source").select(
+    return sized.join(goals, ["source", "slice"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken")
     )
 
@@ -159,13 +173,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
 def repeat(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (see ``mix``)."""
     _, goals = draws(docs, weights, max_epochs, seed)
-    goals = goals.select(F.col("source").alias("__source"), "whole", "stop", "extra")
+    goals = goals.select(F.col("source").alias("__source"), F.col("slice").alias("__slice"), "whole", "stop", "extra")
     columns = [docs[f"`{c}`"] for c in docs.columns]
     keyed = docs.select(
         F.struct(*columns).alias("__row"), _source(docs["source"]).alias("__source"),
         _draw(docs["doc_id"], seed).alias("draw"),
-    )
-    times = keyed.join(goals, "__source").select("__row", _times().cast("int").alias("times"))
+    ).withColumn("__slice", _slice(F.col("draw")))
+    times = keyed.join(goals, ["__source", "__slice"]).select("__row", _times().cast("int").alias("times"))
     return times.filter("times > 0").select(
         "__row", F.explode(F.sequence(F.lit(1), F.col("times")))
     ).select(*[F.col(f"__row.`{c}`") for c in docs.columns])

@@ -29,6 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 from .mixing import mix, mix_sql  # noqa: E402
 from .packing import pack_digests  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
+from .quality import score  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
 from .tokens import record_digests  # noqa: E402
 
@@ -43,6 +44,11 @@ def tokenizer_file() -> str:
 END_ID = 2
 
 
+@query("op1_pu_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_simhash_trie")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))

@@ -105,6 +105,9 @@ def encoder(path: str, by_words: bool) -> Encoder:
 
 # --- the file format -----------------------------------------------------------
 
+#: A file starts with this and one byte: how many bytes an id takes.
+MAGIC = b"IDREC01"
+
 
 def masked(data: bytes) -> int:
     """CRC-32, rotated by 15 bits and shifted by a constant, so that a CRC of data with CRCs stays sound."""
@@ -141,6 +144,9 @@ def file_system(folder: str):
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_words: bool) -> DataFrame:
     """Write the ids of every text, and ``end_id``, as records in ascending doc_id; the index of them.
 
+    A file is ``MAGIC``, the bytes per id (2 where the vocabulary allows, else
+    4), then one record per text (see ``frame``), ids little-endian.
+
     Rows are dealt by doc_id range and sorted; each task writes files of about
     ``FILE_BYTES`` named after itself and this attempt.  The index, a Parquet
     table in ``folder/index``, has one row per record: ``doc_id, file, offset,
@@ -154,7 +160,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_
         fs, root = file_system(data)
         fs.create_dir(root, recursive=True)
         encode = encoder(tokenizer, by_words)
-        end = struct.pack("<I", end_id)
+        kind = "<u2" if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        width = np.dtype(kind).itemsize
+        end = np.array([end_id], kind).tobytes()
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         stream, name, at, number, place, before = None, "", 0, 0, 0, 0
         try:
@@ -164,12 +172,15 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_
                 for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                     if stream is None:
                         name = f"part-{part:05d}-{number:04d}-{attempt}.rec"
-                        stream, at = fs.open_output_stream(f"{root}/{name}"), 0
-                    payload = encode(text.as_py() or b"") + end
+                        stream = fs.open_output_stream(f"{root}/{name}")
+                        stream.write(MAGIC + bytes([width]))
+                        at = len(MAGIC) + 1
+                    payload = np.frombuffer(encode(text.as_py() or b""), "<u4").astype(kind).tobytes() + end
                     record = frame(payload)
                     stream.write(record)
-                    rows.append((doc_id, name, at, len(payload) // 4, part, place, before))
-                    at, place, before = at + len(record), place + 1, before + len(payload) // 4
+                    n = len(payload) // width
+                    rows.append((doc_id, name, at, n, part, place, before))
+                    at, place, before = at + len(record), place + 1, before + n
                     if at >= FILE_BYTES:
                         stream.close()
                         stream, number = None, number + 1
@@ -197,6 +208,8 @@ _INDEX_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, ids`` of every record the index names; ``start`` counts all ids before it.
 
+    ``ids`` are little-endian unsigned 32-bit integers whatever the files hold.
+
     Any subset or order of index rows can be read: a record is found by file and
     offset, and its checksums are verified.
     """
@@ -210,7 +223,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         fs, root = file_system(f"{folder}/data")
-        stream, name = None, None
+        stream, name, width = None, None, 0
         try:
             for batch in batches:
                 out = []
@@ -219,9 +232,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         if stream is not None:
                             stream.close()
                         stream, name = fs.open_input_file(f"{root}/{file}"), file
+                        head = stream.read(len(MAGIC) + 1)
+                        if head[:-1] != MAGIC or head[-1] not in (2, 4):
+                            raise ValueError(f"{file} is no file of records")
+                        width = head[-1]
                     if stream.tell() != offset:
                         stream.seek(offset)
-                    out.append(read_frame(stream))
+                    out.append(np.frombuffer(read_frame(stream), f"<u{width}").astype("<u4").tobytes())
                     if len(out) == 512:
                         yield _part(batch, len(out), out)
                         batch, out = batch.slice(len(out)), []
