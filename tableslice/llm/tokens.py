@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
-        probes = [b"a", b"the", b"zqxjv", b"thoughtlessness", b"abcdefghijklmnopqrstuvwxyz"]
-        self.direct = by_words and [self._plain(w) for w in probes] == self._encode([w.decode() for w in probes])
+        # Every letter it is used for must come out as it does the long way.
+        letters = "".join(c for c in map(chr, range(256)) if _LATIN.fullmatch(c.encode()))
+        probes = [*letters, letters, letters[::-1], "the", "thoughtlessness", "geb\u00e4udestra\u00dfe"]
+        self.direct = by_words and [self._plain(w.encode()) for w in probes] == self._encode(probes)
         self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -57,43 +60,61 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     def _plain(self, word: bytes) -> bytes:
-        """Ids of a word of small ASCII letters, which no step before the model changes."""
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word.decode())])
+        """Ids of small Latin-1 letters, straight from the model: a byte is one of its characters."""
+        letters = word.decode("latin-1")
+        if not word.isascii():
+            letters = letters.translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         if not self.by_words:
             return self._encode([text.decode("utf-8", "replace")])[0]
         words, memo = text.split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            new = set(words)
-            if len(memo) + len(new) > MEMO:
+        out = list(map(memo.get, words))
+        if None in out:
+            places = [i for i, ids in enumerate(out) if ids is None]
+            new = {words[i] for i in places}
+            self._learn(new)
+            for i in places:
+                out[i] = memo[words[i]]
+            if len(memo) > MEMO:
                 memo.clear()
-            self._learn([w for w in new if w not in memo])
-            return b"".join([memo[w] for w in words])
+        return b"".join(out)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Encode new words; a word and the same with capitals or a final . or , share the work."""
-        memo = self.memo
-        roots: dict[bytes, tuple[bytes, bytes]] = {}
+        memo, later, ends, direct, model = self.memo, [], [], self.direct, self.tokenizer.model
         for w in words:
             low, end = w, b""
-            if b"<|" not in w:  # could be a special token, whose case counts
-                low = w.lower()
-                if low[-1:] in (b".", b",") and low[-2:-1].isalpha():
-                    low, end = low[:-1], low[-1:]
-            roots[w] = (low, end)
-        new = sorted({x for pair in roots.values() for x in pair if x and x not in memo})
-        if self.direct:
-            plain = [w for w in new if w.isalpha() and w.islower()]
-            memo.update((w, self._plain(w)) for w in plain)
-            new = [w for w in new if w not in memo]
-        if new:
-            memo.update(zip(new, self._encode_words(new)))
-        for w, (low, end) in roots.items():
-            if w not in memo:
-                memo[w] = memo[low] + memo[end] if end else memo[low]
+            if not w.islower() or not w.isalpha():
+                if b"<|" not in w:  # could be a special token, whose case counts
+                    low = w.lower()
+                    if low[-1] in b".," and low[-2:-1].isalpha():
+                        low, end = low[:-1], low[-1:]
+                if low != w:
+                    ends.append((w, low, end))
+                    if low in memo:
+                        continue
+            if direct and low.isalpha():  # ASCII letters
+                memo[low] = array("I", [t.id for t in model.tokenize(low.decode())]).tobytes()
+            elif direct and _LATIN.fullmatch(low):
+                memo[low] = self._plain(low)
+            else:
+                memo[low] = b""
+                later.append(low)
+        if later:
+            memo.update(zip(later, self._encode_words(later)))
+        for w, low, end in ends:
+            if end and end not in memo:
+                memo[end] = self._encode([end.decode()])[0]
+            memo[w] = memo[low] + memo[end] if end else memo[low]
+
+
+#: Small letters of Latin-1 in UTF-8.
+_LATIN = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def encoder(path: str, by_words: bool) -> Encoder:
