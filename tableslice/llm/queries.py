@@ -26,6 +26,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from .bitslice import exact_top  # noqa: E402
 from .mixing import mix, mix_sql  # noqa: E402
 from .packing import pack_digests  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
@@ -59,6 +62,23 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+_TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op6_bitsliced_top", _TOP_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_token_records")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return record_digests(table(spark, folder, "documents"), tokenizer_file(), END_ID, by_words=True)
