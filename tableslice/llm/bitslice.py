@@ -16,7 +16,7 @@ ATTRIBUTE_BITS, QUERY_BITS = 6, 6
 #: Components beyond this many bits take no part: their products would leave 64-bit integers.
 MAX_BITS = 27
 #: Rows of one index block, queries that meet it together, queries added up at once.
-BLOCK_ROWS, BLOCK_QUERIES, BATCH = 1 << 15, 1 << 14, 32
+BLOCK_ROWS, BLOCK_QUERIES, BATCH = 1 << 15, 1 << 14, 128
 
 
 def bitmap(bits: np.ndarray) -> np.ndarray:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from .bitslice import exact_top  # noqa: E402
 from .mixing import mix, mix_sql  # noqa: E402
+from .nndescent import near_duplicates as near_vectors  # noqa: E402
 from .packing import pack_digests  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
 from .quality import score  # noqa: E402
@@ -52,6 +53,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op2_nn_descent")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op3_simhash_trie")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
