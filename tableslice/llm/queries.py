@@ -34,6 +34,7 @@ from .nndescent import near_duplicates as near_vectors  # noqa: E402
 from .packing import pack_digests  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
 from .quality import score  # noqa: E402
+from .secret_scan import secret_digests  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
 from .tokens import record_digests  # noqa: E402
 
@@ -85,6 +86,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op7_secret_network")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(table(spark, folder, "documents"))
+
+
 @query("op8_token_records")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return record_digests(table(spark, folder, "documents"), tokenizer_file(), END_ID, by_words=True)
