@@ -36,6 +36,7 @@ from .pii import pseudonymize  # noqa: E402
 from .quality import score  # noqa: E402
 from .secret_scan import secret_digests  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
+from .suffix import dedup_digests  # noqa: E402
 from .tokens import record_digests  # noqa: E402
 
 
@@ -81,6 +82,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query("op5_suffix_sort")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_digests(table(spark, folder, "documents"))
+
+
 @query("op6_bitsliced_top", _TOP_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
