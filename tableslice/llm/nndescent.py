@@ -42,15 +42,17 @@ def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
     """
     def place(batches):
         for batch in batches:
-            x = _unit(matrix(batch.column(2)))
-            rng = np.random.default_rng(seed + x.shape[1])
-            planes = rng.normal(size=(x.shape[1], ORDERS * (SIGNS + 1)))
-            p = (x @ planes).reshape(len(x), ORDERS, SIGNS + 1)
-            signs = ((p[:, :, 1:] > 0) << np.arange(SIGNS)).sum(axis=2)
-            for r in range(ORDERS):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(x), r, np.int32)),
-                     pa.array(signs[:, r]), pa.array(p[:, r, 0])], names=["id", "kind", "x", "r", "sign", "along"])
+            lengths = batch.column(2).value_lengths().to_numpy()
+            for n in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == n))
+                x = _unit(matrix(part.column(2)))
+                planes = np.random.default_rng(seed + int(n)).normal(size=(n, ORDERS * (SIGNS + 1)))
+                p = (x @ planes).reshape(len(x), ORDERS, SIGNS + 1)
+                signs = ((p[:, :, 1:] > 0) << np.arange(SIGNS)).sum(axis=2)
+                for r in range(ORDERS):
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(np.full(len(x), r, np.int32)), pa.array(signs[:, r]),
+                         pa.array(p[:, r, 0])], names=["id", "kind", "x", "r", "sign", "along"])
 
     def compare(batches):
         kind, order, ids, x = [np.zeros(0, np.int64)] * 3 + [None]
