@@ -168,7 +168,8 @@ def exact_top(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vec_id
     n = data.agg(F.count(F.lit(1)).alias("rows"), F.count_if("q").alias("queries")).first()
     row_blocks = groups_of(n["rows"], BLOCK_ROWS, 12)
     query_blocks = groups_of(n["queries"], BLOCK_QUERIES)
-    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks))
+    # Both sides of a key must be of one type: a long is dealt elsewhere than the same int.
+    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = data.select("id", "x", "d", deal(row_blocks).alias("rb"), every(query_blocks).alias("qb"))
     queries = data.filter("q").select("id", "x", "d", deal(query_blocks).alias("qb"), every(row_blocks).alias("rb"))

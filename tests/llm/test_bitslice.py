@@ -22,7 +22,7 @@ def test_index_equals_brute_force(scale):
         assert got[q] == [(i, -s) for s, i in scores[:5]]
 
 
-def test_query_agrees_with_sql(spark):
+def test_query_agrees_with_sql(spark, spread):
     query, sql = all_queries()["op6_bitsliced_top"]
     assert compare(query(spark, "/root/testdata/sf0.001"), duck("/root/testdata/sf0.001"), sql) is None
 
