@@ -167,7 +167,8 @@ def _counts_in_blocks(left: DataFrame, right: DataFrame, key: str, threshold: fl
     left, l_size = blocked(left)
     right, r_size = blocked(right)
     sizes = l_size.withColumnRenamed("blocks", "lb").join(r_size.withColumnRenamed("blocks", "rb"), key)
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    # Both sides of a key must be of one type: a long is dealt elsewhere than the same int.
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.join(sizes, key).select(key, "id", "x", part("lb").alias("i"), every("rb").alias("j"))
     b = right.join(sizes, key).select(key, "id", "x", "copies", part("rb").alias("j"), every("lb").alias("i"))

@@ -48,7 +48,7 @@ def test_targets_and_taken_words(spark):
     assert sorted(got) == sorted(mixing.mix(docs.repartition(5)).collect())
 
 
-def test_sql_agrees(spark):
+def test_sql_agrees(spark, spread):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert compare(mixing.mix(docs), duck(folder), mixing.mix_sql()) is None

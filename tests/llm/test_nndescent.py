@@ -45,7 +45,8 @@ def run(spark, rows):
     return sorted((tuple(r) for r in nndescent.near_duplicates(df).collect()), key=str)
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, spread, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 50)
     rows = data()
     want = slow(rows)
     assert max(r[1] for r in want) > nndescent.K

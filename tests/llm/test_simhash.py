@@ -48,7 +48,7 @@ def test_trie_finds_every_pair(seed):
     assert cross == {(i, j - half) for i, j in near.tolist() if i < half <= j}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_equal_brute_force(spark, spread):
     path = "/root/testdata/sf0.001/documents.parquet"
     docs = spark.read.parquet(path)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

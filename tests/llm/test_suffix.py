@@ -54,7 +54,7 @@ def test_merge_sort_orders_suffixes():
     assert keys == sorted(keys)
 
 
-def test_sample_equals_brute_force(spark):
+def test_sample_equals_brute_force(spark, spread):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(tuple(r) for r in suffix.dedup_digests(docs).collect())
