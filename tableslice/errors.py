@@ -19,3 +19,15 @@ class MergeConflict(RuntimeError):
 
 class DriftBlocked(RuntimeError):
     """Schema drift that the policy does not let through."""
+
+
+#: Findings named in an error; how many more there are is said as well.
+SHOWN = 20
+
+
+def more(found, shown) -> str:
+    """`` and N more``, where a message shows only the first of what was ``found``."""
+    if len(shown) < SHOWN:
+        return ""
+    left = found.count() - len(shown)
+    return f" and {left} more" if left else ""

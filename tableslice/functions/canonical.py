@@ -297,8 +297,20 @@ def canonicalize(df: DataFrame, spec: TableSpec | None = None,
     ])
 
 
-def parse_canonical(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Typed columns from canonical text, the inverse of ``canonicalize``."""
-    return df.select(*[
-        parse_text(F.col(f"`{n}`"), spec.require(n, "columns")).alias(n) for n in df.columns
-    ])
+def parse_canonical(df: DataFrame, spec: TableSpec, strict: bool = False) -> DataFrame:
+    """Typed columns from canonical text, the inverse of ``canonicalize``.
+
+    Text that is no value of its column becomes NULL, or with ``strict`` fails
+    the job that reads it, naming table, column and value.
+    """
+    def typed(n):
+        c, column = F.col(f"`{n}`"), spec.require(n, "columns")
+        value = parse_text(c, column)
+        if not strict or column.kind == "text":
+            return value
+        wrong = F.raise_error(F.concat(
+            F.lit(f"table {spec.name}, column {n}: no {column.label()}: "), c))
+        return F.when(c.isNotNull() & value.isNull(), wrong.cast(column.spark_type())).otherwise(value)
+
+    return df.select(*[typed(n).alias(n) for n in df.columns])
+

@@ -139,13 +139,21 @@ def duplicate_rows(df: DataFrame, spec: TableSpec, key: Sequence[str],
 
 
 def key_violations(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = None) -> DataFrame:
-    """Duplicates of the merge key inside one seed, a partial key exempt."""
+    """Duplicates of the merge key inside one seed.
+
+    A partial key may repeat outside its predicate, and where it holds a null.
+    """
     key = merge_key(spec, slc)
-    target = spec.conflict_target(key)
-    exempt = not key or (target is not None and target.partial and key != spec.primary_key)
-    if exempt or any(k not in df.columns for k in key):
+    if not key or any(k not in df.columns for k in key):
         return df.sparkSession.createDataFrame([], VIOLATION_SCHEMA)
-    return _as_violations(duplicate_keys(df, key), df, spec, key, "duplicate_key")
+    target = spec.conflict_target(key)
+    rows = df
+    if target is not None and target.partial and key != spec.primary_key:
+        # The predicate may read columns the seed lacks: NULL there.
+        lacking = [c.name for c in spec.columns if c.name not in df.columns]
+        rows = df.select("*", *[F.lit(None).cast(spec.require(n, "key").spark_type()).alias(n) for n in lacking])
+        rows = filter_rows(rows, target.predicate).dropna("any", subset=list(key))
+    return _as_violations(duplicate_keys(rows, key), rows, spec, key, "duplicate_key")
 
 
 def _as_violations(dups: DataFrame, df: DataFrame, spec: TableSpec, key: Sequence[str],

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import comparison_text
 from ..spec import SliceSpec, TableSpec, merge_key
-from .slicing import col, touched_rows
+from .slicing import col
 
 DIFF_SCHEMA = (
     "key array<string>, change string, "
@@ -18,15 +18,23 @@ DIFF_SCHEMA = (
 )
 
 
-def _compared(df: DataFrame, spec: TableSpec, names: Sequence[str], prefix: str,
-              exact: bool) -> DataFrame:
-    """Comparison text of each column, plus a flag that a row exists at all."""
+# Kinds whose values Spark compares as their canonical text does, type for type.
+_TYPED = frozenset({"bool", "int", "float", "decimal", "text", "bytes", "date", "timestamp"})
+
+
+def _side(df: DataFrame, names: Sequence[str], prefix: str, spec: TableSpec, key: Sequence[str]) -> DataFrame:
+    """Columns under ``prefix``, whether the row is there, and whether it takes part in matching.
+
+    A partial key only matches rows of its predicate; that may read columns
+    ``df`` lacks, which are NULL then.
+    """
+    target, match = spec.conflict_target(key), F.lit(True)
+    if target is not None and target.partial and tuple(key) != tuple(spec.primary_key):
+        lacking = [c for c in spec.columns if c.name not in df.columns]
+        df = df.select("*", *[F.lit(None).cast(c.spark_type()).alias(c.name) for c in lacking])
+        match = F.coalesce(F.expr(f"({target.predicate})"), F.lit(False))
     return df.select(
-        *[
-            comparison_text(col(n), spec.require(n, "columns"), df.schema[n].dataType, exact)
-            .alias(f"{prefix}{n}")
-            for n in names
-        ],
+        *[col(n).alias(f"{prefix}{n}") for n in names], match.alias(f"{prefix}match"),
         F.lit(True).alias(f"{prefix}present"),
     )
 
@@ -36,11 +44,14 @@ def row_diff(seed: DataFrame, live: DataFrame, spec: TableSpec, slc: SliceSpec |
     """Pair seed and live rows by key and say what each seed row would change.
 
     ``change`` is added, updated, unchanged or, for a ``truncate_first`` load,
-    removed.  Only the seed's columns are compared, by canonical text, and two
-    nulls are equal.  Returns None for a table without a usable key.
+    removed.  Only the seed's columns are compared, and two nulls are equal.
+    Rows pair as a merge pairs them: a null in the key matches nothing, so such
+    seed rows are added, and a partial key only matches rows of its predicate.
+    Returns None for a table without a usable key.
 
-    The key is unique on both sides, so no join key is hot; one join serves
-    every kind of change.
+    Keys are joined and values compared as they are typed; text is made of what
+    comes out of the join, and decides only where types differ or hold JSON.
+    The key is unique on both sides, so no join key is hot.
     """
     slc = slc or SliceSpec(spec.name)
     key = merge_key(spec, slc)
@@ -48,22 +59,27 @@ def row_diff(seed: DataFrame, live: DataFrame, spec: TableSpec, slc: SliceSpec |
         return None
     names = list(seed.columns)
     how = "full_outer" if slc.load == "truncate_first" else "left_outer"
-    if how == "left_outer" and not any(spec.require(k, "key").nullable for k in key):
-        live = touched_rows(live, seed, key)
-    left = _compared(seed, spec, names, "s_", exact)
-    right = _compared(live, spec, names, "l_", exact)
+    kinds = {n: (seed.schema[n].dataType, live.schema[n].dataType) for n in names}
+    left, right = _side(seed, names, "s_", spec, key), _side(live, names, "l_", spec, key)
     pairs = left.join(
-        right, [F.col(f"`s_{k}`").eqNullSafe(F.col(f"`l_{k}`")) for k in key], how
+        right,
+        [F.col(f"`s_{k}`").cast(kinds[k][1]) == F.col(f"`l_{k}`") for k in key]
+        + [F.col("s_match") & F.col("l_match")], how,
     )
+
+    def text(side: str, n: str) -> Column:
+        held = kinds[n][side == "l_"]
+        return comparison_text(F.col(f"`{side}{n}`"), spec.require(n, "columns"), held, exact)
+
+    def differ(n: str) -> Column:
+        same = kinds[n][0] == kinds[n][1] and spec.require(n, "columns").kind in _TYPED
+        a, b = (F.col(f"`s_{n}`"), F.col(f"`l_{n}`")) if same else (text("s_", n), text("l_", n))
+        return ~a.eqNullSafe(b)
+
     moved = F.filter(
         F.array(*[
-            F.when(
-                ~F.col(f"`s_{n}`").eqNullSafe(F.col(f"`l_{n}`")),
-                F.struct(
-                    F.lit(n).alias("column"), F.col(f"`l_{n}`").alias("before"),
-                    F.col(f"`s_{n}`").alias("after"),
-                ),
-            )
+            F.when(differ(n), F.struct(
+                F.lit(n).alias("column"), text("l_", n).alias("before"), text("s_", n).alias("after")))
             for n in names if n not in key
         ]) if len(names) > len(key) else F.expr(
             "cast(array() as array<struct<column:string,before:string,after:string>>)"
@@ -78,7 +94,7 @@ def row_diff(seed: DataFrame, live: DataFrame, spec: TableSpec, slc: SliceSpec |
     )
     both = F.col("s_present").isNotNull() & F.col("l_present").isNotNull()
     return pairs.select(
-        F.array(*[F.coalesce(F.col(f"`s_{k}`"), F.col(f"`l_{k}`")) for k in key]).alias("key"),
+        F.array(*[F.coalesce(text("s_", k), text("l_", k)) for k in key]).alias("key"),
         "s_present", "l_present",
         F.when(both, moved).alias("changes"),
     ).select("key", change.alias("change"), "changes")
@@ -86,10 +102,13 @@ def row_diff(seed: DataFrame, live: DataFrame, spec: TableSpec, slc: SliceSpec |
 
 def removed_keys(seed: DataFrame, live: DataFrame, spec: TableSpec,
                  slc: SliceSpec | None = None) -> DataFrame:
-    """Live key tuples the seed does not hold; only keys are read."""
+    """Live key tuples the seed does not hold; only keys are read.
+
+    A key with a null is held by no seed row.
+    """
     key = merge_key(spec, slc)
     have = seed.select(*[col(k).alias(f"__{k}") for k in key])
-    cond = [col(k).eqNullSafe(F.col(f"`__{k}`")) for k in key]
+    cond = [col(k) == F.col(f"`__{k}`") for k in key]
     return live.select(*[col(k) for k in key]).join(have, cond, "left_anti")
 
 

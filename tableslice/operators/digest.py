@@ -14,10 +14,10 @@ from ..functions.jsontext import canonical_json
 from ..spec import TableSpec, spec_from_schema
 from .slicing import col
 
-# A 256-bit hash is summed as four 60-bit pieces (its last 16 bits unused); 28
-# digits per term leave room for 10^19 rows in a 38-digit sum.
-_PIECE_HEX = 15
-_PIECES = 4
+# A 256-bit hash is summed as eight 32-bit pieces; 28 digits per term leave
+# room for any number of rows in a 38-digit sum.
+_PIECE_HEX = 8
+_PIECES = 8
 _TERM = T.DecimalType(28, 0)
 _NULL = "\\N"
 

@@ -13,23 +13,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import MergeConflict, SpecError
+from ..errors import SHOWN, MergeConflict, SpecError, more
 from ..session import cut
 from ..spec import SchemaSpec, SliceSpec, TableSpec, UniqueKey, merge_key
 from .refs import check_references
 from .rowindex import row_index
-from .slicing import col, is_small, total_order, touched_rows
+from .slicing import col, total_order
 
 
 def _align(seed: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
-    """Seed rows with the target's columns; what the seed lacks is NULL."""
+    """Seed rows as rows of the target: its columns and types.
+
+    What the seed lacks is the column's default, else NULL; an explicit NULL
+    stays one.  Generated columns follow from the others.
+    """
     for n in seed.columns:
         if n not in target.columns:
             raise SpecError(f"table {spec.name}: seed column {n!r} is not in the target")
-    return seed.select(*[
-        (col(n) if n in seed.columns else F.lit(None)).cast(target.schema[n].dataType).alias(n)
+    rows = seed.select(*[
+        (col(n) if n in seed.columns else _default(spec, n)).cast(target.schema[n].dataType).alias(n)
         for n in target.columns
     ])
+    return _computed(rows, spec)
+
+
+def _default(spec: TableSpec, name: str) -> Column:
+    found = spec.column(name)
+    return F.expr(found.default) if found is not None and found.default is not None else F.lit(None)
+
+
+def _computed(rows: DataFrame, spec: TableSpec, where: Column | None = None) -> DataFrame:
+    """Generated columns from their expression; with ``where`` only in the rows it selects."""
+    made = {c.name: c.computed for c in spec.columns if c.computed is not None and c.name in rows.columns}
+    if not made:
+        return rows
+    def value(n):
+        new = F.expr(made[n]).cast(rows.schema[n].dataType)
+        return new if where is None else F.when(where, new).otherwise(col(n))
+    return rows.select(*[value(n).alias(n) if n in made else col(n) for n in rows.columns])
 
 
 def _any_null(key: Sequence[str]) -> Column:
@@ -43,26 +64,29 @@ def _nullable(spec: TableSpec, key: Sequence[str]) -> bool:
 def _upsert_on(target: DataFrame, seed: DataFrame, spec: TableSpec, key: Sequence[str]) -> DataFrame:
     """Upsert on a key that holds no null and repeats on neither side.
 
-    A seed Spark would broadcast is joined to the target from the right, so the
-    target is not shuffled; the new rows are found by keys alone.  A large seed
-    meets the target in one full outer join.
+    Updates come from one join of the target to the seed, new rows from an anti
+    join of the seed to the target's keys.  Spark picks the kind of either join
+    from the sizes it knows, so a small seed does not move a large target; rows
+    and types are the same whatever it picks.
     """
+    typed = seed.select(*[
+        col(n).cast(target.schema[n].dataType).alias(n) if n in target.columns else col(n) for n in seed.columns
+    ])
+    new = _align(typed, target, spec)
     seeded = [n for n in target.columns if n in seed.columns and n not in key]
-    small = is_small(seed)
-    s = seed.select(
+    s = typed.select(
         *[col(k) for k in key], *[col(n).alias(f"__s_{n}") for n in seeded],
         F.lit(True).alias("__in_seed"),
     )
-    joined = target.join(s, list(key), "left_outer" if small else "full_outer")
-    merged = joined.select(*[
-        F.when(F.col("__in_seed"), col(f"__s_{n}").cast(target.schema[n].dataType))
-        .otherwise(col(n)).alias(n) if n in seeded else col(n)
+    joined = target.join(s, list(key), "left_outer")
+    changed = joined.select(*[
+        F.when(F.col("__in_seed"), col(f"__s_{n}")).otherwise(col(n)).alias(n) if n in seeded else col(n)
         for n in target.columns
-    ])
-    if not small:
-        return merged
-    known = touched_rows(target.select(*[col(k) for k in key]), seed, key)
-    return merged.unionByName(_align(seed.join(known, list(key), "left_anti"), target, spec))
+    ], "__in_seed")
+    merged = _computed(changed, spec, F.coalesce(F.col("__in_seed"), F.lit(False))).drop("__in_seed")
+    known = target.select(*[col(k).alias(f"__{k}") for k in key])
+    fresh = new.join(known, [col(k) == col(f"__{k}") for k in key], "left_anti")
+    return merged.unionByName(fresh)
 
 
 def merge_upsert(target: DataFrame, seed: DataFrame, spec: TableSpec,
@@ -134,11 +158,12 @@ def conflicts(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:
 
 def merge_insert(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:
     """Plain insert; any conflict aborts before anything is written."""
-    worst = conflicts(target, seed, spec).limit(3).collect()
+    found = conflicts(target, seed, spec)
+    worst = found.limit(SHOWN).collect()
     if worst:
         raise MergeConflict(
             f"table {spec.name}: "
-            + "; ".join(f"{r['constraint']} = ({r['key']})" for r in worst)
+            + "; ".join(f"{r['constraint']} = ({r['key']})" for r in worst) + more(found, worst)
             + (" already exist" if worst[0]["in_target"] else " occur twice in the seed")
         )
     return target.unionByName(_align(seed, target, spec))
@@ -165,8 +190,7 @@ def new_rows(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:
 def _without(rows: DataFrame, taken: DataFrame, key: UniqueKey) -> DataFrame:
     """Rows whose value of ``key`` is not in ``taken``; uncovered rows stay."""
     names = list(key.columns)
-    taken = touched_rows(_covered(taken, key), rows, names)
-    have = taken.select(*[col(n).alias(f"__{n}") for n in names])
+    have = _covered(taken, key).select(*[col(n).alias(f"__{n}") for n in names])
     cond = [col(n) == col(f"__{n}") for n in names]
     if key.partial:
         cond.append(F.coalesce(F.expr(f"({key.predicate})"), F.lit(False)))
@@ -234,23 +258,45 @@ def merge_table(target: DataFrame, seed: DataFrame, spec: TableSpec, slc: SliceS
 DOCUMENT_MODES = ("replace", "insert", "set_on_insert")
 
 
+def _one_per_id(seed: DataFrame, id_column: str, order: Sequence[str], last: bool) -> DataFrame:
+    """The first or last document of each id; one per id leaves every map task."""
+    terms = [col(n) for n in order] or [F.col("__at")]
+    terms = [t.desc_nulls_first() if last else t.asc_nulls_last() for t in terms]
+    rank = F.row_number().over(Window.partitionBy(col(id_column)).orderBy(*terms))
+    placed = seed.withColumn("__at", F.monotonically_increasing_id()).withColumn("__rank", rank)
+    return placed.filter("__rank = 1").drop("__at", "__rank")
+
+
 def merge_documents(target: DataFrame, seed: DataFrame, mode: str = "replace",
-                    id_column: str = "_id") -> DataFrame:
+                    id_column: str = "_id", order: Sequence[str] = ()) -> DataFrame:
     """Whole documents by id: replaced, inserted, or only inserted if new.
 
-    Unlike an upsert, ``replace`` keeps nothing of the old document.
+    Unlike an upsert, ``replace`` keeps nothing of the old document.  Where the
+    seed repeats an id, its last document counts for ``replace``, its first for
+    ``set_on_insert``, and ``insert`` refuses.  ``order`` names the columns that
+    say which is first; without it that is the order in which the seed is read.
     """
     if mode not in DOCUMENT_MODES:
         raise SpecError(f"unknown document mode {mode!r}")
+    if mode == "insert":
+        twice = seed.groupBy(col(id_column).alias("__id")).count().filter("count > 1")
+        repeated = twice.limit(SHOWN).collect()
+        if repeated:
+            raise MergeConflict(
+                "document(s) given twice: " + ", ".join(repr(r["__id"]) for r in repeated) + more(twice, repeated))
+    else:
+        seed = _one_per_id(seed, id_column, order, last=mode == "replace")
     ids = seed.select(col(id_column).alias("__id")).distinct()
     have = target.select(col(id_column).alias("__id"))
     if mode == "replace":
         kept = target.join(ids, col(id_column) == F.col("__id"), "left_anti")
         return kept.unionByName(seed, allowMissingColumns=True)
     if mode == "insert":
-        clash = seed.join(have, col(id_column) == F.col("__id"), "left_semi").limit(1).collect()
+        known = seed.join(have, col(id_column) == F.col("__id"), "left_semi")
+        clash = known.limit(SHOWN).collect()
         if clash:
-            raise MergeConflict(f"document {clash[0][id_column]!r} already exists")
+            raise MergeConflict(
+                "document(s) already there: " + ", ".join(repr(r[id_column]) for r in clash) + more(known, clash))
         return target.unionByName(seed, allowMissingColumns=True)
     fresh = seed.join(have, col(id_column) == F.col("__id"), "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True)

@@ -199,8 +199,8 @@ def follow_parents(
             break
         if depth == max_depth:
             raise ClosureNotSettled(
-                f"following foreign keys did not settle after {max_depth} rounds; still "
-                f"pulling rows into {', '.join(sorted(grown))}"
+                f"new parents were still found in round {max_depth}, in "
+                f"{', '.join(sorted(grown))}; raise the limit or narrow the slice"
             )
         settled = depth + 1
         fresh = {n: reduce(DataFrame.unionByName, p) for n, p in grown.items() if p}

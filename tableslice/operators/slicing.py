@@ -98,26 +98,3 @@ def align_to_spec(df: DataFrame, spec: TableSpec) -> DataFrame:
         (col(c.name) if c.name in df.columns else F.lit(None)).cast(c.spark_type()).alias(c.name)
         for c in spec.columns
     ])
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether Spark's own estimate lets it broadcast ``df``.
-
-    The estimate comes from file sizes and does not count on filters, so it
-    errs on the large side.
-    """
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 < limit and int(str(size)) <= limit
-
-
-def touched_rows(big: DataFrame, small: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``small``, if that is cheap to ask.
-
-    With a small side Spark filters ``big`` by a broadcast, so a little seed
-    never makes a huge table move; otherwise ``big`` is returned whole and the
-    join that follows does the work.
-    """
-    keys = small.select(*[col(k) for k in key])
-    return key_filter(big, keys, [(k, k) for k in key], distinct=False) if is_small(keys) else big

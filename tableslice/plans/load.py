@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MergeConflict, ReadOnlyTarget
-from ..operators.checks import check_rows
+from ..errors import SHOWN, MergeConflict, ReadOnlyTarget, more
+from ..operators.checks import check_rows, row_violations, unique_violations
 from ..operators.counts import row_counts
 from ..operators.diff import diff_counts, row_diff
 from ..operators.graph import load_order
-from ..operators.merge import merge_tables
+from ..operators.merge import merge_result, merge_table
 from ..operators.refs import DEFAULT_MAX_DEPTH, check_references, follow_parents
 from ..operators.slicing import cut_table
-from ..sources.commit import commit_tables
+from ..sources.commit import discard, publish, stage_tables
 from ..spec import SchemaSpec, SliceSpec, merge_key, selected_columns
 
 PLAN_SCHEMA = (
@@ -64,26 +65,70 @@ def cut_slice(
     else:
         tables = {s.table: cut_table(sources[s.table], schema.tables[s.table], s) for s in slices}
         report = row_counts(tables).withColumn("pulled", F.lit(0).cast("bigint"))
-    carried = SchemaSpec(
-        {n: replace(t, foreign_keys=tuple(
-            f for f in t.foreign_keys if n in tables and set(f.columns) <= set(tables[n].columns)))
-         for n, t in schema.tables.items()}, schema.enums)
-    return Export(tables, report, check_references(tables, carried))
+    return Export(tables, report, check_references(tables, _carried(schema, tables)))
 
 
-def export_slice(export: Export, root: str, allow_dangling: bool = False) -> dict[str, str]:
-    """Commit a slice; a slice with dangling references is refused first."""
-    if not allow_dangling:
+def export_slice(export: Export, root: str, allow_dangling: bool = False,
+                 schema: SchemaSpec | None = None) -> dict[str, str]:
+    """Stage a slice, check the staged files, publish it.
+
+    Each table is evaluated once.  With ``schema`` references are checked over
+    the files; without it the slice's own check is asked first.  A slice with
+    dangling references is refused and its files are removed.
+    """
+    if not allow_dangling and schema is None:
         _refuse_dangling(export.dangling)
-    return commit_tables(export.tables, root, keep_others=False)
+    spark = next(iter(export.tables.values())).sparkSession
+    paths = stage_tables(export.tables, root)
+    try:
+        if not allow_dangling and schema is not None:
+            _refuse_dangling(check_references(_staged(spark, root, paths), _carried(schema, export.tables)))
+    except BaseException:
+        discard(spark, root, paths)
+        raise
+    return publish(spark, root, paths, keep_others=False)
+
+
+def _staged(spark: SparkSession, root: str, paths: Mapping[str, str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root}/{p}") for n, p in paths.items()}
+
+
+def _carried(schema: SchemaSpec, tables: Mapping[str, DataFrame]) -> SchemaSpec:
+    """The schema with only those references whose columns the tables carry."""
+    return SchemaSpec(
+        {n: replace(t, foreign_keys=tuple(
+            f for f in t.foreign_keys if n in tables and set(f.columns) <= set(tables[n].columns)))
+         for n, t in schema.tables.items()}, schema.enums)
 
 
 def _refuse_dangling(dangling: DataFrame) -> None:
-    worst = dangling.orderBy("child", "columns").limit(20).collect()
+    worst = dangling.orderBy("child", "columns").limit(SHOWN).collect()
     if worst:
         raise MergeConflict("references without a parent row: " + "; ".join(
             f"{r['child']}({r['columns']}) -> {r['parent']}: {r['missing']}, "
-            f"e.g. {', '.join(r['examples'])}" for r in worst))
+            f"e.g. {', '.join(r['examples'])}" for r in worst) + more(dangling, worst))
+
+
+def _refuse(violations: DataFrame) -> None:
+    worst = violations.orderBy("table", "rule", "column", "key").limit(SHOWN).collect()
+    if worst:
+        raise MergeConflict("; ".join(
+            f"table {r['table']}: {r['rule']} on {r['column']} for key ({r['key']})" for r in worst
+        ) + more(violations, worst))
+
+
+def load_violations(merged: Mapping[str, DataFrame], schema: SchemaSpec) -> DataFrame:
+    """What merged tables break of their constraints: nulls, lengths, labels, keys and unique keys.
+
+    A default only fills what is inserted, so a NULL in a NOT NULL column counts
+    here also where the column has one.
+    """
+    parts = []
+    for name, df in merged.items():
+        spec = schema.tables[name]
+        strict = replace(spec, columns=tuple(replace(c, default=None, has_default=False) for c in spec.columns))
+        parts += [row_violations(df, strict), unique_violations(df, spec)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass
@@ -101,10 +146,12 @@ def load(
     slices: Sequence[SliceSpec], root: str, dry_run: bool = False, read_only: bool = False,
     allow_truncate: Sequence[str] = (),
 ) -> Load:
-    """Check the seeds, merge all tables, check references, commit together.
+    """Check the seeds, merge and stage all tables, check what is staged, publish together.
 
-    Nothing is visible before the last step, so a failure changes nothing.
-    Tables that would be emptied must be named in ``allow_truncate``.
+    Every merge is evaluated once, into files nobody sees yet; constraints and
+    references are checked over those files.  A failure removes them and leaves
+    the last commit in place.  Tables that would be emptied must be named in
+    ``allow_truncate``.
     """
     if read_only and not dry_run:
         raise ReadOnlyTarget("the target is read-only")
@@ -119,12 +166,23 @@ def load(
     emptied = [s.table for s in slices if s.load == "truncate_first" and s.table not in allow_truncate]
     if emptied:
         raise MergeConflict(f"loading would empty {', '.join(emptied)}; allow it by name")
-    for name in by_name:
-        bad = check_rows(seeds[name], schema.tables[name], by_name[name]).limit(5).collect()
-        if bad:
-            raise MergeConflict(f"table {name}: " + "; ".join(
-                f"{r['rule']} on {r['column']} for key ({r['key']})" for r in bad))
-    outcome = merge_tables(targets, {n: seeds[n] for n in by_name}, schema, by_name)
-    _refuse_dangling(outcome.dangling)
-    changed = {n: outcome.tables[n] for n in load_order(schema, by_name).tables}
-    return Load(plan, results=outcome.results, paths=commit_tables(changed, root))
+    _refuse(reduce(DataFrame.unionByName, [
+        check_rows(seeds[n], schema.tables[n], by_name[n]) for n in by_name]))
+    spark = next(iter(seeds.values())).sparkSession
+    merged = {
+        n: merge_table(targets[n], seeds[n], schema.tables[n], by_name[n])
+        for n in load_order(schema, by_name).tables
+    }
+    results = reduce(DataFrame.unionByName, [
+        merge_result(targets[n], seeds[n], schema.tables[n], by_name[n]) for n in by_name])
+    # One row per table; taken now, since it reads tables that a later prune may remove.
+    results = spark.createDataFrame(results.collect(), results.schema)
+    paths = stage_tables(merged, root)
+    try:
+        staged = _staged(spark, root, paths)
+        _refuse(load_violations(staged, schema))
+        _refuse_dangling(check_references({**targets, **staged}, schema))
+    except BaseException:
+        discard(spark, root, paths)
+        raise
+    return Load(plan, results=results, paths=publish(spark, root, paths))

@@ -121,7 +121,7 @@ def _(t: Sample):
 
 
 _SUMS = ", ".join(
-    f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * i}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8))
 
 
 @query("manifest_digest", _OBJECTS_SQL + f"""

@@ -181,8 +181,8 @@ _SUPPLIER_TEXT = "concat_ws('|', " + ", ".join(sized(e) for e in (
 
 def _digest_sql(text: str, table: str) -> str:
     sums = ", ".join(
-        f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)"
-        for i in range(4)
+        f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * i}, 8)) AS BIGINT)) AS VARCHAR)"
+        for i in range(8)
     )
     return (
         f"SELECT count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {sums})) AS sha256 "

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,8 @@ def pin_session(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder from ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder; on
-    a cluster a machine-local path would be lost with its executor.
+    A session without that setting gets a folder below its warehouse, which
+    executors share as well; a machine-local one would be lost with its executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -36,12 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tableslice-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work-{sc.applicationId}")
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,8 +50,42 @@ def cut(df: DataFrame) -> DataFrame:
     for its files), is read back by column, and has a known size, so Spark can
     choose to broadcast a small one.  The files are on shared storage: losing an
     executor loses nothing.
+
+    They are removed at the end of the innermost ``working_files`` block around
+    the call, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _note(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_open: list[list[str]] = [[]]
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    if len(_open) == 1 and not _open[0]:
+        # Runs before Spark's own, since it is registered after it.
+        atexit.register(lambda: _remove(spark, _open[0]))
+    _open[-1].append(path)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    if not paths or spark.sparkContext._jsc is None:
+        return
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while paths:
+        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def working_files(spark: SparkSession):
+    """Working files written inside are removed at the end; use up their DataFrames before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _open.pop())

@@ -1,8 +1,9 @@
 """Writing several tables so that a reader sees all of them, or none.
 
-Tables are written below ``_data/<run>``; a numbered file below ``_commits``
-names the tables of a run and is put in place by one rename.  Readers go
-through the newest commit, so a run that fails halfway is never seen.
+Tables are staged below ``_data/<run>``; a numbered file below ``_commits`` that
+names them makes them visible.  It is created only if no file has its number, so
+of two writers one fails; a file still being written does not parse, and readers
+take the newest one that does.  A run that fails halfway is never seen.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import json
 import uuid
 from collections.abc import Callable, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ReadOnlyTarget
+
 COMMITS, DATA = "_commits", "_data"
 
 
@@ -40,50 +44,70 @@ def _commits(spark: SparkSession, root: str) -> list[str]:
 
 def committed(spark: SparkSession, root: str) -> dict[str, str]:
     """``table -> path`` of the newest commit; empty before the first."""
-    done = _commits(spark, root)
-    if not done:
-        return {}
-    text = spark.read.option("wholetext", True).text(f"{root}/{COMMITS}/{done[-1]}")
-    names = json.loads(text.first()["value"])
-    return {t: f"{root}/{p}" for t, p in names.items()}
+    for number in reversed(_commits(spark, root)):
+        text = spark.read.option("wholetext", True).text(f"{root}/{COMMITS}/{number}").first()
+        try:
+            names = json.loads(text["value"]) if text else None
+        except ValueError:
+            continue
+        if names is not None:
+            return {t: f"{root}/{p}" for t, p in names.items()}
+    return {}
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def commit_tables(tables: Mapping[str, DataFrame], root: str,
-                  write: Callable[[DataFrame, str], None] = write_parquet,
-                  keep_others: bool = True) -> dict[str, str]:
-    """Write ``tables`` and make them visible together.
+def stage_tables(tables: Mapping[str, DataFrame], root: str,
+                 write: Callable[[DataFrame, str], None] = write_parquet) -> dict[str, str]:
+    """Write ``tables`` below a new run; nobody sees them until ``publish`` names them."""
+    run = uuid.uuid4().hex
+    paths = {name: f"{DATA}/{run}/{name}" for name in tables}
+    for name, df in tables.items():
+        write(df, f"{root}/{paths[name]}")
+    return paths
+
+
+def discard(spark: SparkSession, root: str, paths: Mapping[str, str]) -> None:
+    """Remove staged tables that are not to be published."""
+    fs, jvm = _fs(spark, root)
+    for run in {p.rsplit("/", 1)[0] for p in paths.values()}:
+        fs.delete(_path(jvm, root, run), True)
 
-    Tables of the previous commit stay unless written again, or are dropped
-    with ``keep_others=False``.  If another writer commits first, the rename
-    finds its name taken and this commit fails, leaving the other's in place.
+
+def publish(spark: SparkSession, root: str, paths: Mapping[str, str], keep_others: bool = True) -> dict[str, str]:
+    """Make staged tables visible together.
+
+    Tables of the previous commit stay unless staged again, or are dropped with
+    ``keep_others=False``.  If another writer has taken the number, this fails
+    and leaves the other's commit in place.
     """
-    spark = next(iter(tables.values())).sparkSession
     fs, jvm = _fs(spark, root)
-    run = uuid.uuid4().hex
     done = _commits(spark, root)
-    names = {}
-    if keep_others:
-        names = {t: p[len(root) + 1:] for t, p in committed(spark, root).items()}
-    for name, df in tables.items():
-        names[name] = f"{DATA}/{run}/{name}"
-        write(df, f"{root}/{names[name]}")
+    names = {t: p[len(root) + 1:] for t, p in committed(spark, root).items()} if keep_others else {}
+    names.update(paths)
     number = f"{int(done[-1]) + 1 if done else 1:020d}"
     fs.mkdirs(_path(jvm, root, COMMITS))
-    draft = _path(jvm, root, COMMITS, f".draft-{run}")
-    out = fs.create(draft, False)
+    try:
+        out = fs.create(_path(jvm, root, COMMITS, number), False)  # fails where the file exists
+    except Py4JJavaError as e:
+        raise RuntimeError(f"another writer committed {number} below {root} first") from e
     out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
     out.close()
-    target = _path(jvm, root, COMMITS, number)
-    if fs.exists(target) or not fs.rename(draft, target):
-        fs.delete(draft, False)
-        raise RuntimeError(f"another writer committed {number} below {root} first")
     return {t: f"{root}/{p}" for t, p in names.items()}
 
 
+def commit_tables(tables: Mapping[str, DataFrame], root: str,
+                  write: Callable[[DataFrame, str], None] = write_parquet,
+                  keep_others: bool = True, read_only: bool = False) -> dict[str, str]:
+    """Write ``tables`` and make them visible together; refused for a read-only target."""
+    if read_only:
+        raise ReadOnlyTarget("the target is read-only")
+    spark = next(iter(tables.values())).sparkSession
+    return publish(spark, root, stage_tables(tables, root, write), keep_others)
+
+
 def read_committed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(committed(spark, root)[table])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SpecError
+from ..errors import SHOWN, SpecError, more
 from ..functions.canonical import canonicalize, parse_canonical, swap_bool_number, to_text
 from ..functions.jsontext import embed, is_json, quote
 from ..functions.names import BARE_NUMBER, csv_field, quote_identifier, slug, sql_literal
@@ -104,11 +104,9 @@ def _unknown_keys(lines: DataFrame, spec: TableSpec) -> list[str]:
     """Keys in the files that the table lacks: a few distinct names at most,
     found in one pass that keeps only unknown ones."""
     known = F.array(*[F.lit(n) for n in spec.column_names])
-    found = (
-        lines.select(F.explode(F.array_except(F.json_object_keys("value"), known)).alias("k"))
-        .distinct().limit(10).collect()
-    )
-    return sorted(r["k"] for r in found)
+    found = lines.select(F.explode(F.array_except(F.json_object_keys("value"), known)).alias("k")).distinct()
+    shown = found.orderBy("k").limit(SHOWN).collect()
+    return [r["k"] for r in shown] + ([more(found, shown).strip()] if more(found, shown) else [])
 
 
 def read_jsonl(spark: SparkSession, path: str, spec: TableSpec, check: bool = True,
@@ -116,10 +114,12 @@ def read_jsonl(spark: SparkSession, path: str, spec: TableSpec, check: bool = Tr
     """Typed rows; an absent column is NULL, an unknown one an error.
 
     Values are read as their source text, so no digit is lost before the typed
-    parse.  ``check=False`` saves the pass that looks for unknown columns.
+    parse.  A value that does not parse fails the job; ``row_violations`` over
+    ``read_jsonl_text`` with ``parse=True`` lists all of them.  ``check=False``
+    saves the pass that looks for unknown columns.
     """
     texts = read_jsonl_text(spark, path, spec, check, multiline)
-    return parse_canonical(texts, spec)
+    return parse_canonical(texts, spec, strict=True)
 
 
 def read_jsonl_text(spark: SparkSession, path: str, spec: TableSpec, check: bool = True,
@@ -180,10 +180,10 @@ def read_csv_text(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """Typed rows.  A column the header lacks is NULL; an unknown column or a
-    row of another width is an error.  Quoted fields may hold newlines, so a
+    """Typed rows.  A column the header lacks is NULL; an unknown column, a
+    row of another width or a value that does not parse is an error.  Quoted fields may hold newlines, so a
     file is not split: keep single files moderate, as ``write_csv`` does."""
-    return parse_canonical(read_csv_text(spark, path, spec), spec)
+    return parse_canonical(read_csv_text(spark, path, spec), spec, strict=True)
 
 
 # --- SQL inserts -------------------------------------------------------------
@@ -299,7 +299,7 @@ def read_per_row(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
         .option("multiLine", True).option("recursiveFileLookup", True).json(path)
     )
     return parse_canonical(
-        rows.select(*[_decoded(col(c.name), c).alias(c.name) for c in spec.columns]), spec
+        rows.select(*[_decoded(col(c.name), c).alias(c.name) for c in spec.columns]), spec, strict=True
     )
 
 
@@ -317,8 +317,7 @@ def read_objects(spark: SparkSession, root: str, prefix: str = "",
     """``path, length, content`` of every object below ``root``.
 
     Path and length are known from the listing; a job that does not use
-    ``content`` reads no bytes.  ``max_bytes`` leaves larger objects out before
-    their content is read; check ``object_violations`` first to refuse them.
+    ``content`` reads no bytes.  An object above ``max_bytes`` is an error.
     Spark's file readers pass over empty files, so their names are listed
     beside; ``empty=False`` saves that listing where there are none.
     """
@@ -326,7 +325,11 @@ def read_objects(spark: SparkSession, root: str, prefix: str = "",
     files = pin_session(spark).read.format("binaryFile").option(
         "recursiveFileLookup", "true").load(base).select("path", "length", "content")
     if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
+        large = files.filter(F.col("length") > max_bytes).select("path", "length")
+        shown = large.orderBy("path").limit(SHOWN).collect()
+        if shown:
+            raise SpecError(f"object(s) above {max_bytes} bytes: " + ", ".join(
+                f"{r['path']} ({r['length']})" for r in shown) + more(large, shown))
     if empty and (names := _empty_files(spark, base)):
         none = spark.createDataFrame([(n,) for n in names], "path string")
         files = files.unionByName(none.select(

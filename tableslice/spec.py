@@ -40,10 +40,18 @@ class ColumnSpec:
     has_default: bool = False
     generated: bool = False
     identity: bool = False
+    #: SQL expressions: what an inserted row gets where the seed lacks the column,
+    #: and what a generated column is made of.
+    default: str | None = None
+    computed: str | None = None
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise SpecError(f"column {self.name}: unknown kind {self.kind!r}")
+        if self.default is not None:
+            object.__setattr__(self, "has_default", True)
+        if self.computed is not None:
+            object.__setattr__(self, "generated", True)
 
     @property
     def orderable(self) -> bool:
@@ -206,7 +214,7 @@ class SliceSpec:
             raise SpecError(f"table {self.table}: unknown drift policy {self.on_drift!r}")
         if self.columns is not None and self.exclude_columns:
             raise SpecError(
-                f"table {self.table}: `columns` and `exclude_columns` exclude each other"
+                f"table {self.table}: give `columns` or `exclude_columns`, not both"
             )
         if self.limit is not None and self.limit < 0:
             raise SpecError(f"table {self.table}: `limit` is negative")
@@ -241,8 +249,8 @@ def merge_key(spec: TableSpec, slc: SliceSpec | None = None) -> tuple[str, ...]:
         pk = f"({', '.join(spec.primary_key)})" if spec.primary_key else "(none)"
         uq = ", ".join(str(u) for u in spec.unique) or "(none)"
         raise SpecError(
-            f"table {spec.name}: key ({', '.join(key)}) is not backed by a primary key or "
-            f"unique constraint. Primary key: {pk}; unique constraints: {uq}"
+            f"table {spec.name}: no constraint makes key ({', '.join(key)}) unique; "
+            f"its primary key is {pk}, its unique keys are {uq}"
         )
     return key
 
@@ -252,8 +260,8 @@ def selected_columns(spec: TableSpec, slc: SliceSpec) -> list[ColumnSpec]:
     for name in slc.columns or ():
         if spec.require(name, "columns").generated:
             raise SpecError(
-                f"table {spec.name}: `columns` names the generated column {name!r}, "
-                "which cannot be written back"
+                f"table {spec.name}: column {name!r} in `columns` is computed by the table "
+                "and cannot be loaded"
             )
     for name in slc.exclude_columns:
         spec.require(name, "exclude_columns")
