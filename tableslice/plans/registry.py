@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     from . import (  # noqa: F401
-        graph_queries, load_queries, object_queries, reference_queries, schema_queries,
+        constraint_queries, graph_queries, load_queries, object_queries, reference_queries, schema_queries,
         slice_queries, text_queries,
     )
 

@@ -56,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _note(spark, path)
+    scratch(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,11 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
 _open: list[list[str]] = [[]]
 
 
-def _note(spark: SparkSession, path: str) -> None:
+def scratch(spark: SparkSession, path: str) -> str:
+    """Have a folder of the caller's own removed like those of ``cut``."""
     if len(_open) == 1 and not _open[0]:
         # Runs before Spark's own, since it is registered after it.
         atexit.register(lambda: _remove(spark, _open[0]))
     _open[-1].append(path)
+    return path
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
