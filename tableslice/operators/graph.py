@@ -8,14 +8,16 @@ parent).  The loops checkpoint every round and carry only what is left to do.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir, scratch
 from ..spec import SchemaSpec
 
 
@@ -53,29 +55,36 @@ def _nodes_of(edges: DataFrame) -> DataFrame:
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node, level``: parents stand on lower levels than their children.
 
-    Each round takes the nodes that wait for no parent and removes their edges.
-    Nodes on a cycle, and those behind one, get a NULL level.
+    A node knows how many of its parents have no level yet.  Each round takes
+    off those that got one in the last and writes, once, the nodes that have
+    just become free and those that still wait.  Nodes on a cycle, and those
+    behind one, get a NULL level.
     """
     if nodes is None:
         nodes = _nodes_of(edges)
+    spark = edges.sparkSession
     nodes = nodes.select("node").distinct()
-    left = cut(clean_edges(edges, nodes).select("child", "parent"))
-    waiting = cut(nodes)
-    placed = []
+    edges = cut(clean_edges(edges, nodes).select("child", "parent"))
+    folder = scratch(spark, f"{ensure_checkpoint_dir(spark)}/levels-{uuid.uuid4().hex}")
+    parents = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    state = nodes.join(parents, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))
     level = 0
     while True:
-        blocked = left.select(F.col("child").alias("node")).distinct()
-        ready = cut(waiting.join(blocked, "node", "left_anti"))
-        if ready.isEmpty():
+        path = f"{folder}/round={level}"
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        free = state.filter("open = 0").select(F.col("node").alias("parent"))
+        if free.isEmpty():
             break
-        placed.append(ready.withColumn("level", F.lit(level)))
-        waiting = cut(waiting.join(ready, "node", "left_anti"))
-        left = cut(left.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti"))
+        gone = edges.join(free, "parent").groupBy(F.col("child").alias("node")).agg(
+            F.count(F.lit(1)).alias("gone"))
+        state = state.filter("open > 0").join(gone, "node", "left").select(
+            "node", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open"))
         level += 1
-    out = waiting.withColumn("level", F.lit(None).cast("int"))
-    for part in placed:
-        out = out.unionByName(part)
-    return out
+    every = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("round", T.IntegerType())])).option("basePath", folder).parquet(folder)
+    # A node waits in every round up to its own; the last round has nobody free.
+    return every.filter((F.col("open") == 0) | (F.col("round") == level)).select(
+        "node", F.when(F.col("open") == 0, F.col("round")).alias("level"))
 
 
 def cycle_members(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
