@@ -69,6 +69,8 @@ class Encoder:
     def __call__(self, text: bytes) -> bytes:
         if not self.by_words:
             return self._encode([text.decode("utf-8", "replace")])[0]
+        if b"<|" not in text:  # could be a special token, whose case counts
+            text = text.lower()  # ASCII letters, as the tokenizer does later
         words, memo = text.split(), self.memo
         out = list(map(memo.get, words))
         if None in out:
@@ -82,32 +84,31 @@ class Encoder:
         return b"".join(out)
 
     def _learn(self, words: set[bytes]) -> None:
-        """Encode new words; a word and the same with capitals or a final . or , share the work."""
-        memo, later, ends, direct, model = self.memo, [], [], self.direct, self.tokenizer.model
+        """Encode new words; a word and the same with a final . or , share the work."""
+        memo, later, ends, model = self.memo, [], [], self.tokenizer.model
+        latin = _LATIN.fullmatch if self.direct else lambda w: None
         for w in words:
-            low, end = w, b""
-            if not w.islower() or not w.isalpha():
-                if b"<|" not in w:  # could be a special token, whose case counts
-                    low = w.lower()
-                    if low[-1] in b".," and low[-2:-1].isalpha():
-                        low, end = low[:-1], low[-1:]
-                if low != w:
-                    ends.append((w, low, end))
-                    if low in memo:
-                        continue
-            if direct and low.isalpha():  # ASCII letters
-                memo[low] = array("I", [t.id for t in model.tokenize(low.decode())]).tobytes()
-            elif direct and _LATIN.fullmatch(low):
-                memo[low] = self._plain(low)
+            low = w
+            if w[-1] in b".," and w[-2:-1].islower():
+                low = w[:-1]
+                ends.append(w)
+                if low in memo:
+                    continue
+            if latin(low):
+                letters = low.decode("latin-1")
+                if not low.isascii():
+                    letters = letters.translate(_BYTE_LETTERS)
+                memo[low] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
             else:
                 memo[low] = b""
                 later.append(low)
         if later:
             memo.update(zip(later, self._encode_words(later)))
-        for w, low, end in ends:
-            if end and end not in memo:
+        for w in ends:
+            end = w[-1:]
+            if end not in memo:
                 memo[end] = self._encode([end.decode()])[0]
-            memo[w] = memo[low] + memo[end] if end else memo[low]
+            memo[w] = memo[w[:-1]] + memo[end]
 
 
 #: Small letters of Latin-1 in UTF-8.

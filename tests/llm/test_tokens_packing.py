@@ -11,7 +11,7 @@ from tableslice.llm.queries import END_ID, tokenizer_file
 
 ODD = ["", None, "  \n", "A", "Ça va? Été, ÉTÉ. naïve œuvre ﬁn", "<|endoftext|> x<|STARTOFTEXT|>y", "don't can't '.s, 's.",
        "İstanbul ΟΔΟΣ Straße K", "a b c\x1cd\x85e", "é É. ́x", "日本語、 テスト。", "x" * 5000,
-       "Word, word. WORD; wOrD?", "🙂🙂 ok.", "12,345.67 a1b2"]
+       "Word, word. WORD; wOrD?", "🙂🙂 ok.", "I\u0307I. A\u030aA, É, É. x<|endoftext|>, A.", "a., b,. c.. D,", ".", ",", "K\u212a ok", "12,345.67 a1b2"]
 
 
 @pytest.fixture(scope="module")
