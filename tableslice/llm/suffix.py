@@ -8,10 +8,11 @@ The strings of a text that share one anchor form a span, a run of some 70 bytes.
 Documents are dealt into groups by id.  The steps, all in one Spark job:
 
 1. Each group hashes its spans and sends, per distinct anchor and span, the two
-   hashes and the smallest document to the bucket of the anchor.
+   hashes, short ones of the bytes left and right of the anchor, and the smallest
+   document to the bucket of the anchor.
 2. A bucket says of each whether a smaller document has the same span (all its
-   strings go), or whether other documents have the anchor with other bytes
-   around it; most have neither.
+   strings go), or whether another document has the anchor with the same bytes on
+   one side, as it must to share a string; most have neither.
 3. Each group sends the bytes of the latter to the bucket again.
 4. There their strings, suffixes cut at ``length``, are sorted by merging;
    equal neighbours are verified byte by byte, and each string learns whether a
@@ -33,9 +34,9 @@ from .shared import groups_of
 
 PIECE = 16
 #: Bytes of text per group, and of text whose spans meet in a bucket.
-GROUP_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+GROUP_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: Bytes hashed at once in a task.
-BLOCK = 2 << 20
+BLOCK = 1 << 18
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2^64
@@ -72,26 +73,39 @@ class Prefixes:
 
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at ``a`` and ``b``, up to ``limit``, by bisection."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        sa, sb, pa_, pb = self.sums[a], self.sums[b], self.back[a], self.back[b]
+
+        def equal(i, n):
+            return (self.sums[a[i] + n] - sa[i]) * pa_[i] == (self.sums[b[i] + n] - sb[i]) * pb[i]
+
+        out = np.full(len(a), limit, np.int64)
+        open_ = np.flatnonzero(~equal(slice(None), limit))
+        low, high = np.zeros(len(open_), np.int64), np.full(len(open_), limit - 1, np.int64)
+        for _ in range(int(limit).bit_length()):
             mid = (low + high + 1) >> 1
-            same = self.of(a, a + mid) == self.of(b, b + mid)
+            same = equal(open_, mid)
             low, high = np.where(same, mid, low), np.where(same, high, np.maximum(low, mid - 1))
+        out[open_] = low
+        return out
 
 
 def spans(data: np.ndarray, borders: np.ndarray, length: int):
-    """``anchor, span, offset, first, last`` of every span: hashes, the anchor's place in it, first and last string.
+    """``anchor, span, sides, offset, first, last`` of every span.
 
-    ``borders`` are the texts' starts and the end of all; strings lie in one text.
+    Those are hashes of the anchor, of the span and (12 bits each, 0 where the
+    text ends before) of the bytes on either side of the anchor, half as many as
+    a string has beside it; the anchor's place in the span; the first and last
+    string.  ``borders`` are the texts' starts and the end of all; strings lie in
+    one text.
     """
     found, pieces = [], length - PIECE + 1
+    half = (length - PIECE + 1) // 2
     for begin in range(0, len(data), BLOCK):
         # Strings that start in this block; their bytes reach into the next.
         stop = min(begin + BLOCK, len(data))
-        part = data[begin: stop + length - 1]
+        margin = min(begin, half)
+        wide = data[begin - margin: stop + length + half]
+        part = wide[margin:]
         if len(part) < length:
             break
         x = part.astype(np.uint64)
@@ -120,14 +134,23 @@ def spans(data: np.ndarray, borders: np.ndarray, length: int):
         new = np.append(True, at[1:] != at[:-1])
         first, last = starts[new], starts[np.append(new[1:], True)]
         at = at[new]
-        prefix = Prefixes(part)
-        found.append((h[at], prefix.of(first, last + length), at + begin, first + begin, last + begin))
+        prefix = Prefixes(wide)
+        row = np.searchsorted(borders, first + begin, "right") - 1
+        sides = np.zeros(len(at), np.uint64)
+        for shift, low, ok in (
+            (0, at - half, at + begin - half >= borders[row]), (12, at + PIECE, at + begin + PIECE + half <= borders[row + 1])
+        ):
+            low = low[ok] + margin
+            sides[ok] |= (_mix(prefix.of(low, low + half)) % np.uint64(4095) + np.uint64(1)) << np.uint64(shift)
+        span = prefix.of(first + margin, last + length + margin)
+        found.append((h[at], span, sides, at + begin, first + begin, last + begin))
     if not found:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    anchor, span, at, first, last = (np.concatenate(c) for c in zip(*found))
+        return *[none.astype(np.uint64)] * 3, none, none, none
+    anchor, span, sides, at, first, last = (np.concatenate(c) for c in zip(*found))
     # A span cut by a block border stays two spans with the same anchor; each has strings of its own.
-    return _mix(anchor), _mix(span ^ _mix((at - first + (last - first) * length).astype(np.uint64))), at - first, first, last
+    span = _mix(span ^ _mix((at - first + (last - first) * length).astype(np.uint64)))
+    return _mix(anchor), span, sides, at - first, first, last
 
 
 class Group:
@@ -146,15 +169,15 @@ class Group:
         self.length = length
         self.borders = np.append(0, np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts))))
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        anchor, span, self.offset, self.first, self.last = spans(self.data, self.borders, length)
+        anchor, span, sides, self.offset, self.first, self.last = spans(self.data, self.borders, length)
         self.row = np.searchsorted(self.borders, self.first, "right") - 1
         keep = known[self.row] if len(self.row) else np.zeros(0, bool)
         if not keep.all():
-            anchor, span = anchor[keep], span[keep]
+            anchor, span, sides = anchor[keep], span[keep], sides[keep]
             self.offset, self.first, self.last, self.row = (
                 x[keep] for x in (self.offset, self.first, self.last, self.row))
         # Rows are sorted by id, so the first occurrence of a span is in its smallest document.
-        order = np.lexsort((np.arange(len(anchor)), span, anchor))
+        order = np.lexsort((span, anchor))
         new = np.ones(len(order), bool)
         if len(order):
             a, s = anchor[order], span[order]
@@ -162,7 +185,7 @@ class Group:
         self.entry = np.zeros(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.head = order[new]
-        self.anchor, self.span = anchor[self.head], span[self.head]
+        self.anchor, self.span, self.sides = anchor[self.head], span[self.head], sides[self.head]
         self.doc = self.ids[self.row[self.head]] if len(self.head) else np.zeros(0, np.int64)
 
     def buckets(self, n: int):
@@ -194,7 +217,7 @@ def _send(group: Group, p: int, n_buckets: int) -> list[tuple]:
         s = slice(at[b], at[b + 1])
         distinct, which = np.unique(group.doc[s], return_inverse=True)
         kind = "<u2" if len(distinct) <= 1 << 16 else "<u4"
-        hashes = _planes(group.anchor[s], 7) + _planes(group.span[s], 6)
+        hashes = _planes(group.anchor[s], 7) + _planes(group.span[s], 6) + _planes(group.sides[s] << np.uint64(40), 3)
         docs = distinct.astype("<i8").tobytes() + which.astype(kind).tobytes()
         out.append((int(b), p, int(at[b + 1] - at[b]), hashes, len(distinct).to_bytes(4, "little") + docs))
     return out
@@ -202,25 +225,37 @@ def _send(group: Group, p: int, n_buckets: int) -> list[tuple]:
 
 def _judge(table) -> list[tuple]:
     """Marks of all entries of a bucket, in the order each group sent them."""
-    anchors, found, docs, sizes = [], [], [], table.column("n").to_pylist()
+    anchors, found, beside, docs, sizes = [], [], [], [], table.column("n").to_pylist()
     for n, hashes, blob in zip(sizes, table.column("hashes").to_pylist(), table.column("docs").to_pylist()):
         anchors.append(_unplanes(hashes[: 7 * n], n, 7))
-        found.append(_unplanes(hashes[7 * n:], n, 6))
+        found.append(_unplanes(hashes[7 * n: 13 * n], n, 6))
+        beside.append(_unplanes(hashes[13 * n:], n, 3) >> np.uint64(40))
         k = int.from_bytes(blob[:4], "little")
         distinct = np.frombuffer(blob, "<i8", k, 4)
         docs.append(distinct[np.frombuffer(blob, "<u2" if k <= 1 << 16 else "<u4", n, 4 + 8 * k)])
-    anchor, span, doc = (np.concatenate(c) for c in (anchors, found, docs))
+    anchor, span, sides, doc = (np.concatenate(c) for c in (anchors, found, beside, docs))
     order = np.lexsort((doc, span, anchor))
     a, s, d = anchor[order], span[order], doc[order]
-    new_anchor = np.append(True, a[1:] != a[:-1])
-    new_span = new_anchor | np.append(True, s[1:] != s[:-1])
-    group = np.cumsum(new_anchor) - 1
-    heads = np.flatnonzero(new_span)
-    # Anchors that different documents have in different spans.
-    starts = np.flatnonzero(new_anchor[heads])
-    low, high = np.minimum.reduceat(d[heads], starts), np.maximum.reduceat(d[heads], starts)
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+    heads = np.flatnonzero(new)
+    # Spans of one anchor in different documents that agree on a side of it may share strings.
+    edge = np.zeros(len(heads), bool)
+    ha, hd, hs = a[heads], d[heads], sides[order][heads]
+    lonely = np.ones(len(heads), bool)
+    lonely[1:] &= ha[1:] != ha[:-1]
+    lonely[:-1] &= ha[1:] != ha[:-1]
+    some = np.flatnonzero(~lonely)
+    for side in (hs & np.uint64(4095), hs >> np.uint64(12)):
+        here = some[side[some] != 0]
+        by = here[np.lexsort((side[here], ha[here]))]
+        if not len(by):
+            continue
+        starts = np.flatnonzero(np.append(True, (ha[by][1:] != ha[by][:-1]) | (side[by][1:] != side[by][:-1])))
+        low, high = np.minimum.reduceat(hd[by], starts), np.maximum.reduceat(hd[by], starts)
+        edge[by] |= np.repeat(low < high, np.diff(np.append(starts, len(by))))
     mark = np.full(len(a), _WHOLE, np.uint8)
-    mark[heads] = np.where((low < high)[group[heads]], _EDGE, _NOTHING)
+    mark[heads] = np.where(edge, _EDGE, _NOTHING)
     back = np.empty(len(a), np.uint8)
     back[order] = mark
     ends = np.cumsum(sizes)

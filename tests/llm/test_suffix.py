@@ -91,7 +91,7 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
     data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
     borders = np.append(0, np.cumsum([len(t) for _, t in rows]))
-    strings = lambda s: {(int(a), int(x)) for a, f, l in zip(s[0], s[3], s[4]) for x in range(f, l + 1)}
+    strings = lambda s: {(int(a), int(x)) for a, f, l in zip(s[0], s[4], s[5]) for x in range(f, l + 1)}
     one = strings(suffix.spans(data, borders, 50))
     monkeypatch.setattr(suffix, "BLOCK", 1000)
     assert strings(suffix.spans(data, borders, 50)) == one
