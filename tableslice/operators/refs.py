@@ -89,9 +89,11 @@ def check_references(tables: Mapping[str, DataFrame], schema: SchemaSpec,
     if rows is None:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], DANGLING_SCHEMA)
-    counts = rows.groupBy(*fk_id).agg(F.count(F.lit(1)).alias("missing"))
     if not examples:
-        return counts.withColumn("examples", F.array().cast("array<string>"))
+        return rows.groupBy(*fk_id).agg(F.count(F.lit(1)).alias("missing")).withColumn(
+            "examples", F.array().cast("array<string>"))
+    rows = cut(rows)  # the anti joins run once for both uses below
+    counts = rows.groupBy(*fk_id).agg(F.count(F.lit(1)).alias("missing"))
     rank = F.row_number().over(Window.partitionBy(*fk_id).orderBy("key"))
     smallest = (
         rows.withColumn("rank", rank)

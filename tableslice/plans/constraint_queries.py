@@ -12,8 +12,8 @@ from ..operators.diff import removed_keys, row_diff
 from ..operators.merge import merge_documents, merge_upsert
 from ..session import ensure_checkpoint_dir, scratch
 from ..sources.files import read_csv, read_jsonl, read_per_row, write_csv, write_jsonl, write_per_row
-from ..spec import ColumnSpec, TableSpec, UniqueKey, double_col, int_col, text_col
-from .load import load_violations
+from ..spec import ColumnSpec, SliceSpec, TableSpec, UniqueKey, double_col, int_col, text_col
+from .load import cut_slice, export_slice, load_violations, verify_export
 from .registry import Sample, query
 from .testmodel import SCHEMA
 
@@ -236,3 +236,21 @@ def _(t: Sample):
     return t.events.select(
         "event_id", parse_text(plain, ColumnSpec("u", "uuid")).alias("u"),
         F.date_format(parse_text(stamp, ColumnSpec("at", "timestamp", tz=True)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"))
+
+
+@query("verify_export", """
+SELECT 'orders' AS "table", 'row_count' AS rule, NULL AS "column", NULL AS key,
+  (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') || ' rows, ' || (SELECT count(*) FROM orders) || ' recorded' AS value
+UNION ALL SELECT 'customer', 'content', NULL, NULL, NULL
+""")
+def _(t: Sample):
+    """A slice is committed with its record; changed tables are then held against it."""
+    root = _folder(t)
+    tables = t.some("orders", "customer")
+    slices = [SliceSpec("orders"), SliceSpec("customer")]
+    export_slice(cut_slice(tables, SCHEMA, slices), root, schema=SCHEMA, allow_dangling=True)
+    changed = {
+        "orders": tables["orders"].filter("o_orderstatus <> 'P'"),
+        "customer": tables["customer"].withColumn("c_acctbal", F.col("c_acctbal") + 1),
+    }
+    return verify_export(t.spark, root, SCHEMA, changed)

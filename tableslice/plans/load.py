@@ -9,17 +9,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SHOWN, MergeConflict, ReadOnlyTarget, more
-from ..operators.checks import check_rows, row_violations, unique_violations
+from ..errors import SHOWN, MergeConflict, ReadOnlyTarget, SpecError, more
+from ..operators.checks import check_rows, row_violations, unique_violations, verify_tables
 from ..operators.counts import row_counts
 from ..operators.diff import diff_counts, row_diff
+from ..operators.digest import table_digests
+from ..operators.drift import gate
 from ..operators.graph import load_order
 from ..operators.merge import merge_result, merge_table
 from ..operators.refs import DEFAULT_MAX_DEPTH, check_references, follow_parents
 from ..operators.slicing import cut_table
-from ..sources.commit import discard, publish, stage_tables
+from ..sources.commit import committed, discard, publish, stage_tables
 from ..spec import SchemaSpec, SliceSpec, merge_key, selected_columns
 
+#: The table of a commit that records ``table, rows, sha256`` of the others.
+RECORD = "_record"
+
 PLAN_SCHEMA = (
     "position int, table string, mode string, key array<string>, columns array<string>, "
     "destructive boolean"
@@ -56,9 +61,15 @@ class Export:
 def cut_slice(
     sources: Mapping[str, DataFrame], schema: SchemaSpec, slices: Sequence[SliceSpec],
     with_parents: bool = False, max_depth: int = DEFAULT_MAX_DEPTH,
-    add_missing_parents: bool = False,
+    add_missing_parents: bool = False, drift: DataFrame | None = None, confirmed: bool = False,
 ) -> Export:
-    """Cut every table, pull in parents if asked, and check references."""
+    """Cut every table, pull in parents if asked, and check references.
+
+    ``drift`` (of ``schema_drift``) is put to the slices' policies before anything
+    is read.
+    """
+    if drift is not None:
+        gate(drift, slices, confirmed)
     if with_parents:
         closure = follow_parents(sources, schema, slices, max_depth, add_missing_parents)
         tables, report = closure.tables, closure.report()
@@ -73,7 +84,8 @@ def export_slice(export: Export, root: str, allow_dangling: bool = False,
     """Stage a slice, check the staged files, publish it.
 
     Each table is evaluated once.  With ``schema`` references are checked over
-    the files; without it the slice's own check is asked first.  A slice with
+    the files, and a record of rows and digests (``RECORD``) is part of the same
+    commit; without it the slice's own check is asked first.  A slice with
     dangling references is refused and its files are removed.
     """
     if not allow_dangling and schema is None:
@@ -83,12 +95,26 @@ def export_slice(export: Export, root: str, allow_dangling: bool = False,
     try:
         if not allow_dangling and schema is not None:
             _refuse_dangling(check_references(_staged(spark, root, paths), _carried(schema, export.tables)))
+        if schema is not None:
+            record = table_digests(_staged(spark, root, paths), schema.tables)
+            paths = paths | stage_tables({RECORD: record}, root)
     except BaseException:
         discard(spark, root, paths)
         raise
     return publish(spark, root, paths, keep_others=False)
 
 
+def verify_export(spark: SparkSession, root: str, schema: SchemaSpec,
+                  tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Problems of ``tables`` (the committed ones by default) against the record of the newest commit."""
+    paths = committed(spark, root)
+    if RECORD not in paths:
+        raise SpecError(f"the commit below {root} has no record; export with a schema")
+    if tables is None:
+        tables = {n: spark.read.parquet(p) for n, p in paths.items() if n != RECORD}
+    return verify_tables(tables, schema.tables, spark.read.parquet(paths[RECORD]))
+
+
 def _staged(spark: SparkSession, root: str, paths: Mapping[str, str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{root}/{p}") for n, p in paths.items()}
 
@@ -144,17 +170,20 @@ class Load:
 def load(
     targets: Mapping[str, DataFrame], seeds: Mapping[str, DataFrame], schema: SchemaSpec,
     slices: Sequence[SliceSpec], root: str, dry_run: bool = False, read_only: bool = False,
-    allow_truncate: Sequence[str] = (),
+    allow_truncate: Sequence[str] = (), drift: DataFrame | None = None, confirmed: bool = False,
 ) -> Load:
     """Check the seeds, merge and stage all tables, check what is staged, publish together.
 
     Every merge is evaluated once, into files nobody sees yet; constraints and
     references are checked over those files.  A failure removes them and leaves
     the last commit in place.  Tables that would be emptied must be named in
-    ``allow_truncate``.
+    ``allow_truncate``; ``drift`` (of ``schema_drift``) must pass the slices'
+    policies first.
     """
     if read_only and not dry_run:
         raise ReadOnlyTarget("the target is read-only")
+    if drift is not None:
+        gate(drift, slices, confirmed)
     by_name = {s.table: s for s in slices}
     plan = load_plan(seeds, schema, slices)
     if dry_run:
