@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import parse_text
 from ..operators.checks import row_violations
 from ..operators.diff import removed_keys, row_diff
+from ..operators.documents import filter_document
 from ..operators.merge import merge_documents, merge_upsert
 from ..session import ensure_checkpoint_dir, scratch
 from ..sources.files import read_csv, read_jsonl, read_per_row, write_csv, write_jsonl, write_per_row
@@ -254,3 +255,24 @@ def _(t: Sample):
         "customer": tables["customer"].withColumn("c_acctbal", F.col("c_acctbal") + 1),
     }
     return verify_export(t.spark, root, SCHEMA, changed)
+
+
+@query("filter_documents_variant", """
+SELECT event_id FROM events
+WHERE (event_type IN ('view', 'click') AND event_id % 3 <> 0)
+   OR (event_id % 7 = 0 AND event_id % 2 = 1)
+""")
+def _(t: Sample):
+    """Dotted paths into a VARIANT; texts and numbers do not equal each other, absent fields equal null."""
+    n = F.col("event_id")
+    text = F.concat(
+        F.lit('{"id":'), n.cast("string"), F.lit(',"kind":"'), "event_type", F.lit('","meta":{"mod":'),
+        (n % 7).cast("string"), F.when(n % 2 == 1, ',"odd":null').otherwise(',"odd":"1"'), F.lit("}"),
+        F.when(n % 3 == 0, ',"third":3').otherwise(F.lit("")), F.lit("}"))
+    docs = t.events.select("event_id", F.parse_json(text).alias("doc"))
+    rule = {"$or": [
+        {"kind": {"$in": ["view", "click"]}, "third": {"$exists": False}},
+        {"meta.mod": {"$gte": 0, "$lt": 1}, "meta.odd": None, "kind": {"$ne": 7}},
+        {"meta.odd": 1}, {"id": {"$in": ["1", "2"]}},
+    ]}
+    return docs.filter(filter_document(rule, F.col("doc"))).select("event_id")
