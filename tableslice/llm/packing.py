@@ -35,8 +35,21 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
     while len(heap) > 1:
         (_, i), (_, j) = heappop(heap), heappop(heap)
         (xs, xb), (ys, yb) = state.pop(i), state.pop(j)
+        ordered = False
+        if len(xs) < len(ys):
+            xs, xb, ys, yb = ys, yb, xs, xb
         over = max(0, len(xs) + len(ys) - k)  # parts that must be shared: smallest with smallest kept last
-        if over:
+        if len(ys) == 1:  # one item: into an empty part, or onto the smallest
+            value, name = ys[0], yb[0]
+            if over:
+                value, name = value + xs[-1], xb[-1]
+                bags[name].extend(bags[yb[0]])
+                xs, xb = xs[:-1], xb[:-1]
+            at = len(xs) - int(np.searchsorted(xs[::-1], value, "right"))
+            sums = np.concatenate((xs[:at], [value], xs[at:]))
+            names = np.concatenate((xb[:at], [name], xb[at:]))
+            ordered = True
+        elif over:
             # Of k places x fills the first, y the last, the other way round.
             ys, yb = ys[::-1], yb[::-1]
             sums, names = np.zeros(k, np.int64), np.full(k, -1)
@@ -52,8 +65,9 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
             names[len(xs):] = yb[len(xs) - at:]
         else:
             sums, names = np.concatenate((xs, ys)), np.concatenate((xb, yb))
-        order = np.argsort(-sums, kind="stable")
-        sums, names = sums[order], names[order]
+        if not ordered:
+            order = np.argsort(-sums, kind="stable")
+            sums, names = sums[order], names[order]
         if len(sums) == k:
             sums = sums - sums[-1]
         state[fresh] = (sums, names)

@@ -86,7 +86,7 @@ class Encoder:
     def _learn(self, words: set[bytes]) -> None:
         """Encode new words; a word and the same with a final . or , share the work."""
         memo, later, ends, model = self.memo, [], [], self.tokenizer.model
-        latin = _LATIN.fullmatch if self.direct else lambda w: None
+        direct, latin = self.direct, _LATIN.fullmatch
         for w in words:
             low = w
             if w[-1] in b".," and w[-2:-1].islower():
@@ -94,11 +94,10 @@ class Encoder:
                 ends.append(w)
                 if low in memo:
                     continue
-            if latin(low):
-                letters = low.decode("latin-1")
-                if not low.isascii():
-                    letters = letters.translate(_BYTE_LETTERS)
-                memo[low] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
+            if direct and low.isalpha() and low.islower():  # ASCII
+                memo[low] = array("I", [t.id for t in model.tokenize(low.decode())]).tobytes()
+            elif direct and latin(low):
+                memo[low] = self._plain(low)
             else:
                 memo[low] = b""
                 later.append(low)
