@@ -72,12 +72,8 @@ def row_violations(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = None,
     if not rules:
         return df.sparkSession.createDataFrame([], VIOLATION_SCHEMA)
     broken = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    ident = (
-        F.array_join(F.array(*[F.coalesce(col(k).cast("string"), F.lit("NULL")) for k in key]), ", ")
-        if parse and key else key_text(spec, key, df)
-    )
     return (
-        df.select(ident.alias("key"), F.explode(broken).alias("hit"))
+        df.select(_ident(df, spec, key, parse).alias("key"), F.explode(broken).alias("hit"))
         .select(
             F.lit(spec.name).alias("table"), F.col("hit.rule").alias("rule"),
             F.col("hit.column").alias("column"), "key", F.col("hit.value").alias("value"),
@@ -85,22 +81,48 @@ def row_violations(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = None,
     )
 
 
-def indexed_violations(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = None) -> DataFrame:
-    """The same violations with the row's number under the total order.
+def indexed_violations(df: DataFrame, spec: TableSpec, slc: SliceSpec | None = None,
+                       parse: bool = False) -> DataFrame:
+    """The violations of ``check_rows`` with the row's number under the total order.
 
-    Costs a sort of the whole table; ask for it when there is something to
-    look up, not on every load.
+    A row that repeats a key carries the number of the first row with it as its
+    value.  ``parse=True`` takes text columns, which then sort as text.  Costs a
+    sort of the whole table; ask for it when there is something to look up, not
+    on every load.
     """
     slc = slc or SliceSpec(spec.name)
     numbered = row_index(df, total_order(spec, slc))
-    hits = F.filter(F.array(*row_rules(df, spec)), lambda r: r.isNotNull())
     key = [k for k in merge_key(spec, slc) if k in df.columns]
-    return numbered.select(
-        "row_index", key_text(spec, key, df).alias("key"), F.explode(hits).alias("hit")
-    ).select(
-        F.lit(spec.name).alias("table"), F.col("hit.rule").alias("rule"),
-        F.col("hit.column").alias("column"), "row_index", "key", F.col("hit.value").alias("value"),
-    )
+    rules = row_rules(df, spec, parse)
+    parts = []
+    if rules:
+        hits = F.filter(F.array(*rules), lambda r: r.isNotNull())
+        parts.append(numbered.select(
+            "row_index", _ident(df, spec, key, parse).alias("key"), F.explode(hits).alias("hit")
+        ).select(
+            F.lit(spec.name).alias("table"), F.col("hit.rule").alias("rule"),
+            F.col("hit.column").alias("column"), "row_index", "key", F.col("hit.value").alias("value")))
+    if key and len(key) == len(merge_key(spec, slc)) and not _partial(spec, key):
+        twice = _first_two(numbered.select(*[col(k) for k in key], "row_index"), key)
+        parts.append(twice.select(
+            F.lit(spec.name).alias("table"), F.lit("duplicate_key").alias("rule"),
+            F.lit(", ".join(key)).alias("column"), F.col("second_row").alias("row_index"),
+            _ident(df, spec, key, parse).alias("key"), F.col("first_row").cast("string").alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "table string, rule string, column string, row_index bigint, key string, value string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _partial(spec: TableSpec, key: Sequence[str]) -> bool:
+    target = spec.conflict_target(key)
+    return target is not None and target.partial and tuple(key) != tuple(spec.primary_key)
+
+
+def _ident(df: DataFrame, spec: TableSpec, key: Sequence[str], parse: bool) -> Column:
+    if parse and key:
+        return F.array_join(F.array(*[F.coalesce(col(k).cast("string"), F.lit("NULL")) for k in key]), ", ")
+    return key_text(spec, key, df)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -123,7 +145,10 @@ def duplicate_rows(df: DataFrame, spec: TableSpec, key: Sequence[str],
     The two smallest numbers per key are picked by a limit inside every map
     task, so a key with a third of all rows sends two rows per task.
     """
-    numbered = row_index(df, total_order(spec, slc)).select(*[col(k) for k in key], "row_index")
+    return _first_two(row_index(df, total_order(spec, slc)).select(*[col(k) for k in key], "row_index"), key)
+
+
+def _first_two(numbered: DataFrame, key: Sequence[str]) -> DataFrame:
     rank = F.row_number().over(
         Window.partitionBy(*[col(k) for k in key]).orderBy("row_index")
     )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.canonical import parse_text
-from ..operators.checks import row_violations
+from ..operators.checks import indexed_violations, row_violations
 from ..operators.diff import removed_keys, row_diff
 from ..operators.documents import filter_document
 from ..operators.merge import merge_documents, merge_upsert
@@ -276,3 +276,24 @@ def _(t: Sample):
         {"meta.odd": 1}, {"id": {"$in": ["1", "2"]}},
     ]}
     return docs.filter(filter_document(rule, F.col("doc"))).select("event_id")
+
+
+_PARTS = TableSpec("parts", (
+    int_col("l_orderkey"), int_col("l_linenumber", 32), text_col("l_returnflag", 0), double_col("l_quantity")),
+    unique=(UniqueKey(("l_orderkey",)),))
+
+
+@query("indexed_violations", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_returnflag, l_quantity) AS row_index
+           FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'x' ELSE '' END AS l_returnflag, l_quantity
+                 FROM lineitem))
+SELECT 'parts' AS "table", 'max_length' AS rule, 'l_returnflag' AS "column", row_index,
+  CAST(l_orderkey AS VARCHAR) AS key, '1' AS value FROM n WHERE l_returnflag = 'x'
+UNION ALL SELECT 'parts', 'duplicate_key', 'l_orderkey', min(row_index) + 1, CAST(l_orderkey AS VARCHAR),
+  CAST(min(row_index) AS VARCHAR) FROM n GROUP BY l_orderkey HAVING count(*) > 1
+""")
+def _(t: Sample):
+    """Rows too long and rows that repeat a key, by their number under the total order."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.when(
+        F.col("l_quantity") > 45, "x").otherwise("").alias("l_returnflag"), "l_quantity")
+    return indexed_violations(rows, _PARTS, SliceSpec("parts", load="insert", order_by=("l_orderkey",)))
