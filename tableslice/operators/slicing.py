@@ -12,6 +12,10 @@ from ..functions.canonical import to_text
 from ..spec import ColumnSpec, SliceSpec, TableSpec, selected_columns
 
 
+#: Rows of a limited slice that one task may hold.
+TOP_K = 100_000
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -59,19 +63,30 @@ def total_order(spec: TableSpec, slc: SliceSpec | None = None) -> list[Column]:
 def cut_table(df: DataFrame, spec: TableSpec, slc: SliceSpec, ordered: bool = False) -> DataFrame:
     """The slice of one table.
 
-    A limit takes the first rows of the total order (a distributed top-k).
+    A limit takes the first rows of the total order: up to ``TOP_K`` of them by
+    a top-k, whose rows meet in one task, more of them by row number after a
+    distributed sort.
     Without one the rows are only sorted when ``ordered`` asks for it: joins
     and merges further on do not need the order, file writers do.
     """
     terms = total_order(spec, slc)
     rows = filter_rows(df, slc.where)
     if slc.limit is not None:
-        rows = rows.orderBy(*terms).limit(slc.limit)
+        rows = _first_rows(rows, spec, terms, slc.limit)
     elif ordered:
         rows = rows.orderBy(*terms)
     return select_columns(rows, spec, slc)
 
 
+def _first_rows(rows: DataFrame, spec: TableSpec, terms: Sequence[Column], n: int) -> DataFrame:
+    if n <= TOP_K:
+        return rows.orderBy(*terms).limit(n)
+    from .rowindex import row_index  # which needs ``col`` from here
+
+    unique = bool(spec.primary_key) and set(spec.primary_key) <= set(rows.columns)
+    return row_index(rows, terms, "__n", unique).filter(F.col("__n") <= n).drop("__n")
+
+
 def key_filter(df: DataFrame, keys: DataFrame, on: Sequence[tuple[str, str]],
                distinct: bool = True) -> DataFrame:
     """Rows whose key tuple is among ``keys``; a null in a tuple matches nothing.

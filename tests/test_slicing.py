@@ -146,3 +146,17 @@ def test_copies_of_one_row_are_spread_over_tasks(spread):
     assert got.filter("k = -1").agg(F.max("row_index")).first()[0] == 3000
     tasks = got.filter("k = -1").select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 1
+
+
+def test_a_large_limit_goes_by_row_number(spark, spread, monkeypatch):
+    from tableslice.operators import slicing
+
+    spec = TableSpec("t", (int_col("id"), text_col("v")), ("id",))
+    rows = spark.range(500).selectExpr("(id * 37) % 500 AS id", "cast(id % 7 AS string) AS v").repartition(7)
+    slc = SliceSpec("t", order_by=("v",), limit=123)
+    small = [tuple(r) for r in cut_table(rows, spec, slc).collect()]
+    monkeypatch.setattr(slicing, "TOP_K", 10)
+    assert sorted(tuple(r) for r in cut_table(rows, spec, slc).collect()) == sorted(small)
+    bare = TableSpec("t", spec.columns)
+    copies = rows.unionAll(rows)
+    assert cut_table(copies, bare, slc).count() == 123
