@@ -55,7 +55,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op2_nn_descent")
+_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT id, b FROM reach JOIN links ON r = a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r) AS component_id, id = min(r) AS kept
+FROM reach LEFT JOIN n ON id = a GROUP BY id
+"""
+
+
+@query("op2_nn_descent", _LINKS_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
@@ -82,7 +97,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-@query("op5_suffix_sort")
+_REMOVED_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (
+        SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+r AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS opens
+      FROM g JOIN f USING (s) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+           SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+parts AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+          UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, len(h) // 2) - x)), '' ORDER BY x) AS k
+         FROM parts JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op5_suffix_sort", _REMOVED_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_digests(table(spark, folder, "documents"))
 

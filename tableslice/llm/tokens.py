@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch
 
 #: Words a tokenizer remembers in a worker before it starts anew.
 MEMO = 400_000
@@ -284,7 +284,8 @@ def record_digests(docs: DataFrame, tokenizer: str, end_id: int, by_words: bool
     first; rows with one doc_id are neighbours in either order.  Repeated rows
     give records of their own, other columns are ignored, no rows give no rows.
     """
-    folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    folder = scratch(spark, f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}")
     back = read_records(write_records(docs, folder, tokenizer, end_id, by_words), folder)
     return back.select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
