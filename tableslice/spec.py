@@ -260,7 +260,7 @@ def selected_columns(spec: TableSpec, slc: SliceSpec) -> list[ColumnSpec]:
     for name in slc.columns or ():
         if spec.require(name, "columns").generated:
             raise SpecError(
-                f"table {spec.name}: column {name!r} in `columns` is computed by the table "
+                f"table {spec.name}: column {name!r} in `columns` is generated by the table "
                 "and cannot be loaded"
             )
     for name in slc.exclude_columns:
