@@ -249,7 +249,7 @@ def merge_key(spec: TableSpec, slc: SliceSpec | None = None) -> tuple[str, ...]:
         pk = f"({', '.join(spec.primary_key)})" if spec.primary_key else "(none)"
         uq = ", ".join(str(u) for u in spec.unique) or "(none)"
         raise SpecError(
-            f"table {spec.name}: no constraint makes key ({', '.join(key)}) unique; "
+            f"table {spec.name}: key ({', '.join(key)}) is not backed by a constraint; "
             f"its primary key is {pk}, its unique keys are {uq}"
         )
     return key
