@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-#: What counts as a candidate, by kind (Java regular expressions).
+#: What counts as a candidate, by kind (Java regular expressions without capturing groups).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of_country() -> str:
+    forms = []
+    for n, of in IBAN_LENGTHS.items():
+        fours, left = divmod(n - 4, 4)
+        forms.append(f"(?:{of.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}"
+                     + (f" ?[A-Z0-9]{{{left}}}" if left else ""))
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+IBAN_OF_COUNTRY = _iban_of_country()
 DATE = (
-    r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}"
-    r"|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![A-Za-z0-9/-])"
+    r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}|(?![A-Za-z0-9/-]))"
+    r"|(?:(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}"
+    r"|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![A-Za-z0-9/-]))"
 )
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 IP = r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"
@@ -20,16 +42,13 @@ PHONE = (
     r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9])"
 )
-CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
-KINDS = (EMAIL, IBAN, DATE, SSN, IP, PHONE, CARD)
-CANDIDATE = "|".join(KINDS)
+#: As far as a card that starts here can reach, and what tells whether a group ends there.
+CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}[ -]?[A-Za-z0-9]?"
+#: How cards are commonly written; looked for before other groupings.
+_CARD_FORM = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 _FIRST_DAY, _DAYS = "1900-01-01", (229, 319)  # 229 * 319 = 73049 days, 1900 to 2099
 
 
-def _is(m: Column, pattern: str) -> Column:
-    return m.rlike(f"^(?:{pattern})$")
-
-
 def _keyed(key: str, *parts: Column) -> Column:
     """A keyed hash below 2^60."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]).cast("binary"), 256)
@@ -82,14 +101,12 @@ def _fill(m: Column, digits: Column) -> Column:
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
     """Luhn sum; places ``doubled`` modulo 2 from the right, counted from 0, are doubled."""
-    n = F.length(digits)
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
+    def add(total: Column, d: Column, i: Column) -> Column:
         twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
         return total + F.when(i % 2 == doubled, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    values = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.struct(c.cast("int").alias("d"), i.alias("i")))
+    return F.aggregate(values, F.lit(0), lambda total, v: add(total, v["d"], v["i"]))
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
@@ -193,14 +210,97 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(local, F.substring(m, at, F.length(m)))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """What stands for the candidate ``m``: ``m`` itself where no kind finds it valid."""
-    out = F.lit(None).cast("string")
-    for pattern, make in reversed(list(zip(KINDS, (_email, _iban, _date, _ssn, _ip, _phone, _card)))):
-        valid, new = make(m, key)
-        # A digit string can look like a phone and be a card: a kind that refuses passes it on.
-        out = F.coalesce(F.when(_is(m, pattern), F.when(valid, new)), out)
-    return F.coalesce(out, m)
+def _whole(w: Column) -> Column:
+    return F.array(w)
+
+
+def _lengths(of: str, most: int, least: int) -> Callable[[Column], Column]:
+    """Beginnings of a candidate with ``most`` to ``least`` characters ``of`` that end with a group, longest first."""
+    each = [rf"^{of}(?:[ -]?{of}){{{n - 1}}}(?![A-Za-z0-9])" for n in range(most, least - 1, -1)]
+    return lambda w: F.filter(F.array(*[F.regexp_extract(w, e, 0) for e in each]), lambda t: t != "")
+
+
+def _common_cards(w: Column) -> Column:
+    return F.filter(_lengths("[0-9]", 19, 13)(w), lambda t: t.rlike(_CARD_FORM))
+
+
+def _phone_lengths(w: Column) -> Column:
+    return F.array(w, F.regexp_extract(w, r"^(?:[^0-9]*[0-9]){9,15}(?![0-9])", 0))
+
+
+#: In this order: candidate, what of it may be the value (best first), check and pseudonym.
+KINDS = (
+    (EMAIL, _whole, _email), (IBAN_OF_COUNTRY, _whole, _iban), (IBAN, _lengths("[A-Z0-9]", 34, 15), _iban),
+    (DATE, _whole, _date), (SSN, _whole, _ssn), (IP, _whole, _ip), (PHONE, _phone_lengths, _phone),
+    (CARD, _common_cards, _card), (CARD, _lengths("[0-9]", 19, 13), _card),
+)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _mark(kind: int) -> str:
+    """A character that stands for a value of this kind while the others are looked for."""
+    return chr(0xE000 + kind)
+
+
+def _taken_out(text: Column, kind: int, key: str) -> Column:
+    """``t, new``: the text with a mark for each valid value of the kind, and the values' pseudonyms in order.
+
+    Candidates are looked for at every place, so one that fails hides none that
+    starts inside it.  Of values that overlap the first is taken.  A mark that
+    was in the text stands for itself.
+    """
+    pattern, parts_of, make = KINDS[kind]
+    mark = _mark(kind)
+    place = f"(?=({pattern}|{mark}))"
+
+    def best(w: Column) -> Column:
+        """Characters of the value at the start of a candidate, 0 for none."""
+        good = F.filter(parts_of(w), lambda t: (t != "") & make(t, key)[0])
+        return F.when(w == mark, 1).otherwise(F.coalesce(F.length(F.get(good, F.lit(0))), F.lit(0)))
+
+    spans = "array<struct<at:int,n:int>>"
+    state = f"struct<at:int,upto:int,found:{spans}>"
+
+    def chosen(text: Column) -> Column:
+        lengths = F.transform(F.split(text, place, -1), F.length)
+        sizes = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(place), 1), best))
+        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("upto"), F.array().cast(spans).alias("found")).cast(state)
+        steps = F.zip_with(lengths, sizes, lambda length, n: F.struct(length.alias("length"), n.alias("n")))
+
+        def step(s: Column, c: Column) -> Column:
+            take = (c["n"] > 0) & (s["at"] >= s["upto"])
+            return F.struct(
+                (s["at"] + c["length"]).alias("at"), F.when(take, s["at"] + c["n"]).otherwise(s["upto"]).alias("upto"),
+                F.when(take, F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), c["n"].alias("n")))))
+                .otherwise(s["found"]).alias("found")).cast(state)
+
+        return F.aggregate(steps, start, step)["found"]
+
+    def written(text: Column, found: Column) -> Column:
+        def before(f: Column, i: Column) -> Column:
+            # The first character is the blank before the text.
+            begin = F.when(i > 0, F.get(found, i - 1)["at"] + F.get(found, i - 1)["n"]).otherwise(2)
+            return F.concat(F.substring(text, begin, f["at"] - begin), F.lit(mark))
+
+        last = F.get(found, F.size(found) - 1)
+        rest = F.substring(text, F.coalesce(last["at"] + last["n"], F.lit(2)), F.length(text))
+        value = lambda f: F.substring(text, f["at"], f["n"])
+        return F.struct(
+            F.concat(F.array_join(F.transform(found, before), ""), rest).alias("t"),
+            F.transform(found, lambda f: F.when(value(f) == mark, mark).otherwise(make(value(f), key)[1])).alias("new"))
+
+    # With a blank before it a text never starts with a place, at which split would give no first part.
+    found = _let(F.concat(F.lit(" "), text), lambda t: _let(chosen(t), lambda f: written(t, f)))
+    none = F.struct(text.alias("t"), F.array().cast("array<string>").alias("new"))
+    return F.when(text.rlike(f"{pattern}|{mark}"), found).otherwise(none)
+
+
+def _put_back(text: Column, kind: int, new: Column) -> Column:
+    return F.array_join(
+        F.zip_with(F.split(text, _mark(kind), -1), new, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
 
 
 def pseudonymize(docs: DataFrame, key: str = "tableslice", text: str = "text") -> DataFrame:
@@ -211,15 +311,21 @@ def pseudonymize(docs: DataFrame, key: str = "tableslice", text: str = "text") -
     and phone numbers (9 to 15 digits) are permuted within their kind and format
     by a keyed Feistel network, so results are valid again and equal values stay
     equal across documents.  The part of an e-mail address before the @ follows
-    from a keyed hash, letter for letter.  Numbers that fail their check stay.
+    from a keyed hash, letter for letter.  Inside a longer run of digits or groups every start and
+    length at a border is tried: 13 to 19 digits of a card, the country's length
+    of an IBAN, 9 to 15 digits of a phone number.  What fails its check stays.
     Whole texts are read; null stays null, an empty text stays empty.  A row
     never looks at another, so ties and repeated rows give repeated results.
     """
     old = F.col(f"`{text}`")
-    parts = F.split(old, CANDIDATE, -1)
-    found = F.regexp_extract_all(old, F.lit(CANDIDATE), 0)
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    joined = F.array_join(
-        F.zip_with(parts, new, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), ""
-    )
-    return docs.withColumn(text, F.when(old.rlike("[0-9@]"), joined).otherwise(old))
+    name = "__pii"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    out, rest = docs, F.when(old.rlike("[0-9@]"), old)
+    for kind in range(len(KINDS)):  # a step each: nested, they are more than the analyzer resolves
+        out = out.withColumn(f"{name}{kind}", _taken_out(rest, kind, key))
+        rest = F.col(f"{name}{kind}.t")
+    for kind in reversed(range(len(KINDS))):
+        rest = _put_back(rest, kind, F.col(f"{name}{kind}.new"))
+    return out.withColumn(text, F.when(old.rlike("[0-9@]"), rest).otherwise(old)).select(
+        *[f"`{c}`" for c in docs.columns])

@@ -61,6 +61,40 @@ def test_what_is_not_valid_stays(spark, text):
     assert run(spark, [text]) == [text]
 
 
+INSIDE = [
+    ("card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111"), ("4111111111111111 2 items", "4111111111111111"),
+    ("order 7 4111 1111 1111 1111", "4111 1111 1111 1111"), ("7 4111-1111-1111-1111 2nd", "4111-1111-1111-1111"),
+    ("1 22 4111 1111 1111 1111 333 4444 55555", "4111 1111 1111 1111"),
+    ("BE68 5390 0754 7034 EUR 20", "BE68 5390 0754 7034"), ("BE12 BE68 5390 0754 7034 X1", "BE68 5390 0754 7034"),
+    ("AB12 4111 1111 1111 1111", "4111 1111 1111 1111"), ("AB12 BE68539007547034", "BE68539007547034"),
+    ("12345678 123-45-6789", "123-45-6789"), ("at 2024-01-15T10:00:00 UTC", "2024-01-15"),
+    ("+1 212 555 1234 1234 1234 1234", "+1 212 555 1234"), ("\ue007 4111111111111111 \ue001", "4111111111111111"),
+]
+
+
+def test_values_inside_longer_candidates_change(spark):
+    for (text, value), got in zip(INSIDE, run(spark, [t for t, _ in INSIDE])):
+        head, tail = text.split(value)
+        new = got[len(head): len(got) - len(tail)]
+        assert value not in got and got.startswith(head) and len(got) == len(text), (text, got)
+        if not value.startswith("+"):
+            assert got.endswith(tail), (text, got)
+        if "1111" in value:
+            assert luhn(re.sub(r"\D", "", new)), (text, got)
+        if value.startswith("BE"):
+            assert iban_ok(new), (text, got)
+
+
+def test_dates_before_other_letters_stay(spark):
+    texts = ["2024-01-15Tue", "2024-01-15x", "2024/01/15T10:00", "2024-01-15-7"]
+    assert run(spark, texts) == texts
+
+
+def test_long_runs_of_digits(spark):
+    text = "1 " * 20_000 + "4111 1111 1111 1111 x"
+    assert "4111 1111 1111 1111" not in run(spark, [text])[0]
+
+
 def test_equal_values_stay_linked_and_keys_matter(spark):
     a, b = run(spark, ["card 4111111111111111", "again 4111111111111111, 4111-1111-1111-1111"])
     new = a.removeprefix("card ")
