@@ -34,6 +34,7 @@ from .nndescent import near_duplicates as near_vectors  # noqa: E402
 from .packing import pack_digests  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
 from .quality import score  # noqa: E402
+from .repair import repair_digests, repair_sql  # noqa: E402
 from .secret_scan import secret_digests  # noqa: E402
 from .simhash import near_duplicates  # noqa: E402
 from .suffix import dedup_digests  # noqa: E402
@@ -145,3 +146,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_feistel_pseudonyms")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymize(table(spark, folder, "documents")).select("doc_id", "text")
+
+
+@query("op11_four_russians_repair", repair_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_digests(table(spark, folder, "conversations"))
