@@ -32,7 +32,7 @@ def cheapest(rows):
             ways += [(3 + c, "D" + e, lines) for c, e, lines in best(i + 1, last, 0)]
             if fault not in ("blank", "duplicate"):
                 x = role[:1]
-                if re.fullmatch("s|u|su|au|ua", last + x):
+                if x and re.fullmatch("s|u|su|au|ua", last + x):
                     ways += [(more + c, "K" + e, [f"{role}:{text}", *rest]) for c, e, rest in best(i + 1, x, 0)]
                 new = give[last]
                 ways += [(2 + more + c, "R" + e, [f"{new}:{text}", *rest]) for c, e, rest in best(i + 1, after[new], 0)]
