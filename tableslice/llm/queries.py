@@ -32,6 +32,7 @@ from .bitslice import exact_top  # noqa: E402
 from .mixing import mix, mix_sql  # noqa: E402
 from .nndescent import near_duplicates as near_vectors  # noqa: E402
 from .packing import pack_digests  # noqa: E402
+from .phrases import collocations, collocations_sql  # noqa: E402
 from .pii import pseudonymize  # noqa: E402
 from .quality import score  # noqa: E402
 from .repair import repair_digests, repair_sql  # noqa: E402
@@ -151,3 +152,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_four_russians_repair", repair_sql())
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return repair_digests(table(spark, folder, "conversations"))
+
+
+@query("op13_stripe_phrases", collocations_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
