@@ -29,6 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from .bitslice import exact_top  # noqa: E402
+from .langid import identify  # noqa: E402
 from .mixing import mix, mix_sql  # noqa: E402
 from .nndescent import near_duplicates as near_vectors  # noqa: E402
 from .packing import pack_digests  # noqa: E402
@@ -157,3 +158,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_stripe_phrases", collocations_sql())
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
+
+
+@query("op12_script_viterbi")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
