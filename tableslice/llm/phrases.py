@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,8 @@ _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PLAIN = bytes.maketrans(
     bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(_ENDS) + b" ")
 
-_COUNTS = pa.list_(pa.struct([("w3", pa.string()), ("n", pa.int64())]))
-_NEXT = pa.list_(pa.struct([("w2", pa.string()), ("counts", _COUNTS)]))
-_STRIPES = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("part", pa.int32()), ("next", _NEXT)])
-_SCHEMA = "lang string, w1 string, part int, next array<struct<w2: string, counts: array<struct<w3: string, n: long>>>>"
+_STRIPES = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("part", pa.int32()), ("stripe", pa.string())])
+_SCHEMA = "lang string, w1 string, part int, stripe string"
 
 
 def _tokens(data: bytes) -> pa.Array:
@@ -68,15 +67,17 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(change))
 
 
-def _lists(offsets: np.ndarray, columns: list[pa.Array], kind: pa.ListType) -> pa.ListArray:
-    entries = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, kind)
+def _lines(codes: list[pa.Array], n: np.ndarray) -> pa.Array:
+    """Entries of a stripe: the next words, a tab, how often."""
+    said = pc.binary_join_element_wise(*codes, " ", null_handling="skip") if codes else pa.repeat("", len(n))
+    return pc.binary_join_element_wise(said, pa.array(n).cast(pa.string()), "\t")
 
 
 def _stripes(lang: str, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
     """Stripes of the words before the last two tokens, which are only looked ahead to.
 
-    A total stands among the counts of a prefix with a null for the next word.
+    In the shuffle a stripe is text, an entry a line; words hold no blank, tab or
+    line feed.  The entry without a word is the total of the prefix.
     """
     coded = tokens.dictionary_encode()
     values = coded.dictionary
@@ -104,11 +105,10 @@ def _stripes(lang: str, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
 
     # How often each word occurs: its total.
     runs = _runs(a)
-    heads, one = a[runs[:-1]], np.arange(len(runs))
-    total = _lists(one, [named(np.full(len(heads), none)), pa.array(np.diff(upto[runs]))], _COUNTS)
+    heads = a[runs[:-1]]
     yield pa.record_batch([
         pa.repeat(lang, len(heads)), named(heads), pa.repeat(pa.scalar(0, pa.int32()), len(heads)),
-        _lists(one, [named(np.full(len(heads), none)), total], _NEXT)], schema=_STRIPES)
+        _lines([], np.diff(upto[runs]))], schema=_STRIPES)
 
     # The words after it, each with its total and the words after that.
     here = b != none
@@ -123,13 +123,13 @@ def _stripes(lang: str, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
     by_pair = np.argsort(owner, kind="stable")
     third = np.concatenate((np.full(len(pairs) - 1, none), c[on]))[by_pair]
     count = np.concatenate((np.diff(upto[pairs]), n[on]))[by_pair]
-    counts = _lists(np.searchsorted(owner[by_pair], np.arange(len(pairs))), [named(third), pa.array(count)], _COUNTS)
-    a, b = a[pairs[:-1]], b[pairs[:-1]]
-    stripes = _runs(a, part[b])
+    second = b[pairs[:-1]][owner[by_pair]]
+    lines = _lines([named(second), named(third)], count)
+    first = a[pairs[:-1]][owner[by_pair]]
+    stripes = _runs(first, part[second])
     heads = stripes[:-1]
-    yield pa.record_batch([
-        pa.repeat(lang, len(heads)), named(a[heads]), pa.array(part[b[heads]]),
-        _lists(stripes, [named(b), counts], _NEXT)], schema=_STRIPES)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(stripes, pa.int32()), lines), "\n")
+    yield pa.record_batch([pa.repeat(lang, len(heads)), named(first[heads]), pa.array(part[second[heads]]), joined], schema=_STRIPES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,14 @@ def merged_stripes(docs: DataFrame, at_least: int) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     stripes = texts.mapInArrow(_read, _SCHEMA).repartition("lang", "w1", "part")
     # Element by element, where the stripe has come to: no further shuffle.
+    said = F.substring_index("line", "\t", 1)
+    words = F.split("next", " ")
     return (
-        stripes.select("lang", "w1", "part", F.inline("next")).select("lang", "w1", "part", "w2", F.inline("counts"))
-        .groupBy("lang", "w1", "part", "w2", "w3").agg(F.sum("n").alias("n"))
-        .filter(F.col("w2").isNull() | (F.col("n") >= at_least)).select("lang", "w1", "w2", "w3", "n")
+        stripes.select("lang", "w1", "part", F.explode(F.split("stripe", "\n")).alias("line"))
+        .groupBy("lang", "w1", "part", said.alias("next"))
+        .agg(F.sum(F.substring_index("line", "\t", -1).cast("long")).alias("n"))
+        .filter((F.col("next") == "") | (F.col("n") >= at_least))
+        .select("lang", "w1", F.nullif(words[0], F.lit("")).alias("w2"), F.get(words, F.lit(1)).alias("w3"), "n")
     )
 
 
