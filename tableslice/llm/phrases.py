@@ -28,9 +28,9 @@ from ..session import cut
 #: A stripe is dealt out in so many parts, by the hash of the next word, so that no word's is in one task.
 PARTS = 16
 #: Bytes of a language's text a task turns into stripes at once.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 #: Words whose three-word runs are counted at once; three word numbers then fit one 64-bit key.
-WORDS = 1 << 20
+WORDS = 2_000_000
 _BITS = 21
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -52,8 +52,8 @@ def _tokens(data: bytes) -> pa.Array:
     opens[0] |= inside[0]
     opens[1:] |= inside[1:] & ~inside[:-1]
     kept = buf[solid]
-    place = np.cumsum(solid) - 1
-    offsets = np.append(place[opens], len(kept)).astype(np.int64)
+    place = np.cumsum(solid, dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
+    offsets = np.append(place[opens].astype(np.int64) - 1, len(kept))
     return pa.Array.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
 
@@ -91,7 +91,8 @@ def _stripes(lang: str, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
     code = number[coded.indices.to_numpy()]
     none = (1 << _BITS) - 1  # sorts last
     at = values.index(pa.scalar(b"\n", values.type)).as_py()
-    code[code == number[at]] = none
+    if at >= 0:
+        code[code == number[at]] = none
     first, second, third = code[:-2], code[1:-1], code[2:]
     third = np.where(second == none, none, third)
     key, n = np.unique((first << 2 * _BITS | second << _BITS | third)[first != none], return_counts=True)
