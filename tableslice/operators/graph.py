@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, ensure_checkpoint_dir, scratch
 from ..spec import SchemaSpec
+from .components import between_cycles
 
 
 def fk_edges(spark: SparkSession, schema: SchemaSpec) -> DataFrame:
@@ -91,17 +92,13 @@ def cycle_members(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     """Nodes on a cycle or between two, and whether all edges there defer.
 
     What remains when nodes without a parent are peeled off, and then nodes
-    without a child.
+    without a child.  ``components.strong_components`` tells the cycles apart.
     """
-    left = cut(clean_edges(edges, nodes))
-    for near, far in (("child", "parent"), ("parent", "child")):
-        while True:
-            ends = left.select(F.col(near).alias(far)).distinct()
-            kept = cut(left.join(ends, far, "left_semi"))
-            done = kept.count() == left.count()
-            left = kept
-            if done:
-                break
+    every = cut(clean_edges(edges, nodes))
+    kept = between_cycles(every.select(F.col("child").alias("u"), F.col("parent").alias("v")))
+    left = every
+    for end in ("child", "parent"):
+        left = left.join(kept.select(F.col("node").alias(end)), end, "left_semi")
     ends = left.select(F.col("child").alias("node"), "deferrable").unionByName(
         left.select(F.col("parent").alias("node"), "deferrable")
     )

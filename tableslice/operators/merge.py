@@ -6,16 +6,18 @@ DataFrame; the staged commit in ``sources.commit`` makes it visible.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SHOWN, MergeConflict, SpecError, more
 from ..session import cut
 from ..spec import SchemaSpec, SliceSpec, TableSpec, UniqueKey, merge_key
+from .components import connected_components
 from .refs import check_references
 from .rowindex import row_index
 from .slicing import col, total_order
@@ -210,29 +212,84 @@ def _first_per_key(rows: DataFrame, key: UniqueKey, order: Sequence[Column]) ->
     return first.drop("__rank").unionByName(rows.filter(~covered))
 
 
+#: Key values of conflicting rows that hang together and may be settled by one task.
+SETTLED_ALONE = 1_000_000
+
+
 def _first_per_keys(rows: DataFrame, keys: Sequence[UniqueKey],
                     order: Sequence[Column]) -> DataFrame:
     """First-come rows under several constraints at once.
 
-    Whether a row is taken depends on rows before it, so this goes in rounds:
-    the rows that are first in all their key groups are taken, the rows they
-    exclude are dropped, and the rest go again.
+    Whether a row is taken depends on rows before it that share a value with
+    it, and on those before them.  So rows are parted into groups that share
+    values, directly or through others; a group is gone through in order by one
+    task.  Most rows share nothing and are in no group.
     """
     left = cut(row_index(rows, order, "__row"))
-    taken: list[DataFrame] = []
+    claims = []
+    for i, key in enumerate(keys):
+        mine = _covered(left, key).select("__row", *[col(c).alias(f"__v{j}") for j, c in enumerate(key.columns)])
+        values = [f"__v{j}" for j in range(len(key.columns))]
+        shared = mine.groupBy(*values).agg(F.min("__row").alias("value"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        claims.append(mine.join(shared, values).select(F.col("__row").alias("row"), F.lit(i).alias("key"), "value"))
+    losers = _losers(cut(reduce(DataFrame.unionByName, claims)))
+    return left.join(losers.withColumnRenamed("row", "__row"), "__row", "left_anti").drop("__row")
+
+
+def _losers(claims: DataFrame) -> DataFrame:
+    """``row`` of those that claim a value (``key, value``) a row before them got.
+
+    Groups of more than ``SETTLED_ALONE`` claims go in rounds: rows that are
+    first in all they claim are taken, those they exclude lose, and what is left
+    falls into groups again.
+    """
+    lost: list[DataFrame] = []
     while True:
-        first = left
-        for key in keys:
-            ahead = _first_per_key(left, key, [F.col("__row")]).select("__row")
-            first = first.join(ahead, "__row", "left_semi")
-        first = cut(first)
-        taken.append(first)
-        rest = left.join(first.select("__row"), "__row", "left_anti")
-        for key in keys:
-            rest = _without(rest, first, key)
-        left = cut(rest)
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, taken).drop("__row")
+        heads = claims.groupBy("key", "value").agg(F.min("row").alias("head"))
+        links = claims.join(heads, ["key", "value"]).select("row", "head")
+        groups = connected_components(links, "row", "head").withColumnRenamed("node", "row")
+        grouped = cut(claims.join(groups, "row"))
+        large = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SETTLED_ALONE)
+        small = grouped.join(large, "root", "left_anti")
+        lost.append(
+            small.repartition("root").sortWithinPartitions("root", "row").select("root", "row", "key", "value")
+            .mapInArrow(_in_order, "row long"))
+        claims = cut(grouped.join(large, "root", "left_semi").select("row", "key", "value"))
+        for _ in range(3):
+            if claims.isEmpty():
+                return reduce(DataFrame.unionByName, lost)
+            heads = claims.groupBy("key", "value").agg(F.min("row").alias("head"))
+            taken = claims.join(heads, ["key", "value"]).groupBy("row").agg(
+                F.bool_and(F.col("row") == F.col("head")).alias("first")).filter("first").select("row")
+            taken = cut(taken)
+            gone = claims.join(taken, "row", "left_semi").select("key", "value")
+            rest = claims.join(taken, "row", "left_anti")
+            beaten = cut(rest.join(gone, ["key", "value"], "left_semi").select("row").distinct())
+            lost.append(beaten)
+            claims = cut(rest.join(beaten, "row", "left_anti"))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that lose, of groups that come one after another, each in row order."""
+    group, row, wants, got = None, None, [], set()
+
+    def settle():
+        if any(w in got for w in wants):
+            return [row]
+        got.update(wants)
+        return []
+
+    for batch in batches:
+        out = []
+        for root, r, key, value in zip(*[c.to_pylist() for c in batch.columns]):
+            if r != row:
+                out += settle()
+                row, wants = r, []
+                if root != group:
+                    group, got = root, set()
+            wants.append((key, value))
+        yield pa.record_batch([pa.array(out, pa.int64())], names=["row"])
+    yield pa.record_batch([pa.array(settle(), pa.int64())], names=["row"])
 
 
 def merge_skip_existing(target: DataFrame, seed: DataFrame, spec: TableSpec) -> DataFrame:

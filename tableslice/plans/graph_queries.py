@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import strong_components
 from ..operators.graph import clean_edges, cycle_members, dependency_levels, reachable, relatives
 from .registry import Sample, query
 
@@ -56,6 +57,23 @@ def _(t: Sample):
     return cycle_members(_cyclic(t))
 
 
+@query("strong_components", """
+WITH loops AS (SELECT greatest(c_custkey - 7, 0) AS a, c_custkey AS b FROM customer
+               WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 7000 AND c_custkey > 0),
+starts AS (SELECT *, coalesce(a > max(b) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM loops),
+spans AS (SELECT min(a) AS a, max(b) AS b FROM (SELECT *, sum(opens::INTEGER) OVER (ORDER BY b) AS k FROM starts) GROUP BY k)
+SELECT c_custkey AS node, coalesce(a, c_custkey) AS component, coalesce(b - a + 1, 1)::BIGINT AS size
+FROM customer LEFT JOIN spans ON c_custkey BETWEEN a AND b
+""")
+def _(t: Sample):
+    """One chain through all customers, closed backwards at some of them."""
+    key = F.col("c_custkey")
+    chain = t.customer.filter(key > 0).select(key.alias("child"), (key - 1).alias("parent"))
+    loops = t.customer.filter("c_mktsegment = 'BUILDING' AND c_acctbal > 7000 AND c_custkey > 0").select(
+        F.greatest(key - 7, F.lit(0)).alias("child"), key.alias("parent"))
+    return strong_components(chain.unionByName(loops), t.customer.select(key.alias("node")))
+
+
 @query("reachable_parents", """
 WITH RECURSIVE r(node, distance) AS (
   SELECT c_custkey, 0 FROM customer WHERE c_mktsegment = 'MACHINERY'

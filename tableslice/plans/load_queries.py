@@ -108,6 +108,22 @@ def _(t: Sample):
     return merge_skip_existing(rows.limit(0), rows, spec)
 
 
+@query("merge_skip_chain", """
+SELECT c_custkey, c_custkey // 2 AS a, (c_custkey + 1) // 2 AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY island ORDER BY c_custkey) AS place FROM (
+    SELECT c_custkey, c_custkey - row_number() OVER (ORDER BY c_custkey) AS island FROM customer WHERE c_acctbal > -800))
+WHERE place % 2 = 1
+""")
+def _(t: Sample):
+    """Each row shares one value with the row before it and another with the row after."""
+    spec = TableSpec("pairs", (int_col("c_custkey"), int_col("a"), int_col("b")), ("c_custkey",),
+                     unique=(UniqueKey(("a",)), UniqueKey(("b",))))
+    key = F.col("c_custkey")
+    rows = t.customer.filter("c_acctbal > -800").select(
+        key, F.floor(key / 2).cast("long").alias("a"), F.floor((key + 1) / 2).cast("long").alias("b"))
+    return merge_skip_existing(rows.limit(0), rows, spec)
+
+
 @query("merge_insert", """
 SELECT * FROM orders
 UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
