@@ -11,10 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
 from .tokens import encoder
 
 #: Tokens packed together; a task goes on with a new group then.
-GROUP_TOKENS = 6_000_000
+GROUP_TOKENS = 2_000_000
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:
@@ -143,11 +144,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, by_
                 held += n % capacity
                 if held >= GROUP_TOKENS:
                     rows += flush()
-                if len(rows) >= 4096:
-                    yield _table(rows)
-                    rows = []
+                while len(rows) >= 4096:
+                    yield _table(rows[:4096])
+                    del rows[:4096]
             yield _table(rows)
         yield _table(flush())
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .shared import held_out
+from .shared import give_back, held_out
 
 #: Expected rows of each kind, positive and unlabelled, that a model is fitted on.
 SAMPLE = 6000
@@ -154,6 +154,7 @@ def _apply(docs: DataFrame, make, columns: str, kind: pa.DataType) -> DataFrame:
                 half = batch.column(2).slice(at, 1024).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 1024), pa.array(list(make(x, half)), kind)], names=["doc_id", "x"])
+        give_back()
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), _half(F.col("doc_id").cast("long"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .shared import components, roots
+from .shared import components, give_back, roots
 
 BITS = 64
 #: Pairs of trie nodes handled at once in a task, and pairs of leaves compared directly.
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
                 names=["doc_id", "fp"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, fp long"
