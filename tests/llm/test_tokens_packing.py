@@ -33,7 +33,7 @@ def test_words_give_the_ids_of_whole_texts(spark, tokenizer):
 
 
 def test_a_full_memo_changes_nothing(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 50)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 50 * tokens.MEMO_ENTRY)
     encode = tokens.Encoder(tokenizer_file(), True)
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect():
         assert encode(r.text.encode()) == ids(tokenizer, r.text)[:-1].tobytes()
