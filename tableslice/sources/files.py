@@ -17,6 +17,7 @@ from ..operators.rowindex import rank_in_group, row_index, sort_rows
 from ..operators.slicing import col, total_order
 from ..session import pin_session
 from ..spec import ColumnSpec, SliceSpec, TableSpec, merge_key
+from .records import csv_records
 
 DEFAULT_SQL_BATCH = 100
 
@@ -168,21 +169,23 @@ def read_csv_text(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     header = spark.read.options(header="true", **_CSV).csv(path).columns
     for name in header:
         spec.require(name, "csv header")
-    rows = (
-        spark.read.options(header="true", multiLine="true", enforceSchema="false", **_CSV)
-        .schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
-        .csv(path)
-    )
-    return rows.select(*[
-        (col(c.name) if c.name in header else F.lit(None).cast("string")).alias(c.name)
-        for c in spec.columns
-    ])
+    fields = ", ".join(f"c{i} string" for i in range(len(header)))
+    records = csv_records(spark, path).filter("text <> ''").select(
+        "file", "top", F.from_csv("text", fields, {**_CSV, "multiLine": "true"}).alias("row"))
+    # Every file begins with the same header.
+    mark = F.regexp_replace("row.c0", "^\ufeff", "")
+    same = F.array(mark, *[F.col(f"row.c{i}") for i in range(1, len(header))]) == F.array(*map(F.lit, header))
+    other = F.raise_error(F.concat(
+        F.lit(f"table {spec.name}: the header of "), "file", F.lit(f" is not {', '.join(header)}"))).cast("boolean")
+    rows = records.filter(F.when(~F.col("top"), True).otherwise(~F.when(same, True).otherwise(other)))
+    at = {n: F.col(f"row.c{i}") for i, n in enumerate(header)}
+    return rows.select(*[at.get(c.name, F.lit(None).cast("string")).alias(c.name) for c in spec.columns])
 
 
 def read_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """Typed rows.  A column the header lacks is NULL; an unknown column, a
-    row of another width or a value that does not parse is an error.  Quoted fields may hold newlines, so a
-    file is not split: keep single files moderate, as ``write_csv`` does."""
+    row of another width or a value that does not parse is an error.  Quoted
+    fields may hold line ends, and a large file is still read by many tasks."""
     return parse_canonical(read_csv_text(spark, path, spec), spec, strict=True)
 
 
