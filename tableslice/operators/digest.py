@@ -49,7 +49,8 @@ def row_digests(df: DataFrame, spec: TableSpec | None = None, keep: Sequence[str
     )
 
 
-def _sums(hash_hex: Column) -> list[Column]:
+def hash_sums(hash_hex: Column) -> list[Column]:
+    """Sums of the pieces of hashes, ``s0`` to ``s7``: the same in any order and grouping."""
     return [
         F.coalesce(
             F.sum(F.conv(F.substring(hash_hex, 1 + i * _PIECE_HEX, _PIECE_HEX), 16, 10).cast(_TERM)),
@@ -66,7 +67,7 @@ def combine_hashes(df: DataFrame, hash_hex: Column) -> DataFrame:
     of the multiset says as much as one of the sorted file, needs no sort, and
     merges partial sums: it is the same under any partitioning.
     """
-    sums = df.agg(F.count(F.lit(1)).alias("rows"), *_sums(hash_hex))
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), *hash_sums(hash_hex))
     body = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"s{i}") for i in range(_PIECES)])
     return sums.select("rows", F.sha2(body, 256).alias("sha256"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonicalize
@@ -10,7 +12,9 @@ from ..operators.digest import (
     digest_of_digests, row_digests, table_digest, table_digests,
 )
 from ..operators.documents import filter_document
+from ..operators.merkle import differing_ranges, digest_tree, ordered_digest, range_diff, write_ranges
 from ..operators.slicing import align_to_spec, cut_table, key_filter
+from ..session import ensure_checkpoint_dir, scratch
 from ..spec import SliceSpec, align_column_order, spec_from_schema
 from .registry import Sample, dbl, query, sized, stamp
 from .testmodel import SCHEMA
@@ -236,3 +240,62 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, {stamp('ts')} AS ts,
 """)
 def _(t: Sample):
     return canonicalize(t.events, SCHEMA.tables["events"])
+
+
+_SPARSE_SQL = f"""
+orders_text AS (SELECT *, {_ORDER_TEXT} AS txt FROM orders),
+sparse AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 997 = 3 THEN o_totalprice + 1 ELSE o_totalprice END
+    AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 1009 <> 5
+  UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+  WHERE o_orderkey % 1013 = 7)"""
+
+
+def _sparse(t: Sample):
+    """A copy of orders in which few rows are gone, dearer or new."""
+    key = F.col("o_orderkey")
+    kept = t.orders.filter(key % 1009 != 5).withColumn(
+        "o_totalprice", F.when(key % 997 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return kept.unionByName(t.orders.filter(key % 1013 == 7).withColumn("o_orderkey", -key - 1))
+
+
+@query("table_digest_ordered", f"""
+WITH h AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, sha256({_ORDER_TEXT}) AS h FROM orders),
+nodes AS (SELECT i // 1024 AS node, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM h GROUP BY i // 1024)
+SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY node)) AS sha256 FROM nodes
+""")
+def _(t: Sample):
+    """The sample has between 1,025 and a million orders: two levels."""
+    return ordered_digest(t.orders, SCHEMA.tables["orders"])
+
+
+_RANGE = "substr(sha256(length(CAST(o_orderkey AS VARCHAR)) || ':' || CAST(o_orderkey AS VARCHAR)), 1, 3)"
+
+
+@query("differing_ranges", f"""
+WITH {_SPARSE_SQL},
+changed AS (SELECT {_RANGE} AS range FROM (
+  (SELECT * FROM sparse EXCEPT SELECT * FROM orders) UNION ALL (SELECT * FROM orders EXCEPT SELECT * FROM sparse))),
+a AS (SELECT {_RANGE} AS range, count(*) AS rows FROM sparse GROUP BY 1),
+b AS (SELECT {_RANGE} AS range, count(*) AS rows FROM orders GROUP BY 1)
+SELECT range, coalesce(a.rows, 0) AS rows, coalesce(b.rows, 0) AS other_rows
+FROM (SELECT DISTINCT range FROM changed) LEFT JOIN a USING (range) LEFT JOIN b USING (range)
+""")
+def _(t: Sample):
+    spec = SCHEMA.tables["orders"]
+    return differing_ranges(digest_tree(_sparse(t), spec), digest_tree(t.orders, spec))
+
+
+@query("ranged_diff", f"""
+WITH {_SPARSE_SQL}
+SELECT CAST(coalesce(s.o_orderkey, o.o_orderkey) AS VARCHAR) AS key,
+  CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN s.o_orderkey IS NULL THEN 'removed' ELSE 'updated' END AS change
+FROM sparse s FULL JOIN orders o ON s.o_orderkey = o.o_orderkey
+WHERE s.o_orderkey IS NULL OR o.o_orderkey IS NULL OR s.o_totalprice <> o.o_totalprice
+""")
+def _(t: Sample):
+    spec, folder = SCHEMA.tables["orders"], scratch(t.spark, f"{ensure_checkpoint_dir(t.spark)}/ranges-{uuid.uuid4().hex}")
+    write_ranges(_sparse(t), f"{folder}/seed", spec, digits=2)
+    write_ranges(t.orders, f"{folder}/live", spec, digits=2)
+    found = range_diff(t.spark, f"{folder}/seed", f"{folder}/live", spec, SliceSpec("orders", load="truncate_first"), digits=2)
+    return found.filter("change <> 'unchanged'").select(F.array_join("key", ", ").alias("key"), "change")
