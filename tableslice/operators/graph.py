@@ -8,18 +8,18 @@ parent).  The loops checkpoint every round and carry only what is left to do.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut, ensure_checkpoint_dir, scratch
+from ..session import cut
 from ..spec import SchemaSpec
 from .components import between_cycles
+from .levels import longest_levels
 
 
 def fk_edges(spark: SparkSession, schema: SchemaSpec) -> DataFrame:
@@ -56,36 +56,13 @@ def _nodes_of(edges: DataFrame) -> DataFrame:
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node, level``: parents stand on lower levels than their children.
 
-    A node knows how many of its parents have no level yet.  Each round takes
-    off those that got one in the last and writes, once, the nodes that have
-    just become free and those that still wait.  Nodes on a cycle, and those
-    behind one, get a NULL level.
+    Nodes on a cycle, and those behind one, get a NULL level.
     """
     if nodes is None:
         nodes = _nodes_of(edges)
-    spark = edges.sparkSession
     nodes = nodes.select("node").distinct()
-    edges = cut(clean_edges(edges, nodes).select("child", "parent"))
-    folder = scratch(spark, f"{ensure_checkpoint_dir(spark)}/levels-{uuid.uuid4().hex}")
-    parents = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("open"))
-    state = nodes.join(parents, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))
-    level = 0
-    while True:
-        path = f"{folder}/round={level}"
-        state.write.parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
-        free = state.filter("open = 0").select(F.col("node").alias("parent"))
-        if free.isEmpty():
-            break
-        gone = edges.join(free, "parent").groupBy(F.col("child").alias("node")).agg(
-            F.count(F.lit(1)).alias("gone"))
-        state = state.filter("open > 0").join(gone, "node", "left").select(
-            "node", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open"))
-        level += 1
-    every = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("round", T.IntegerType())])).option("basePath", folder).parquet(folder)
-    # A node waits in every round up to its own; the last round has nobody free.
-    return every.filter((F.col("open") == 0) | (F.col("round") == level)).select(
-        "node", F.when(F.col("open") == 0, F.col("round")).alias("level"))
+    plain = clean_edges(edges, nodes).select(F.col("parent").alias("u"), F.col("child").alias("v"))
+    return longest_levels(plain, nodes).select("node", F.col("level").cast("int").alias("level"))
 
 
 def cycle_members(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -105,30 +82,53 @@ def cycle_members(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     return ends.groupBy("node").agg(F.bool_and("deferrable").alias("all_deferrable"))
 
 
+#: Rounds' finds that are read side by side before they are written as one.
+_SIDE_BY_SIDE = 6
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "parents",
               depth: int | None = None) -> DataFrame:
     """``node, distance`` of everything reachable from ``seeds``.
 
     ``depth`` bounds the steps; a node keeps its first, smallest distance.
+    Without a bound, and where no node has two ways on, steps double from round
+    to round.  Else a round follows the nodes found by the last one; what has
+    been found is written together every few rounds, so that plans stay small.
     """
     near, far = ("child", "parent") if direction == "parents" else ("parent", "child")
-    step = edges.filter(F.col("child") != F.col("parent")).select(
+    step = cut(edges.filter(F.col("child") != F.col("parent")).select(
         F.col(near).alias("node"), F.col(far).alias("next")
-    )
+    ).distinct())
     seen = cut(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier, at = seen, 0
+    if depth is None and step.groupBy("node").count().filter("count > 1").isEmpty():
+        return _doubling(step, seen)
+    found, frontier, at = [seen], seen, 0
     while depth is None or at < depth:
         at += 1
-        new = (
-            step.join(frontier.select("node"), "node", "left_semi")
-            .select(F.col("next").alias("node")).distinct()
-            .join(seen.select("node"), "node", "left_anti")
-        )
+        new = step.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
+        for known in found:
+            new = new.join(known.select("node"), "node", "left_anti")
         frontier = cut(new.withColumn("distance", F.lit(at)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found.append(frontier)
+        if len(found) > _SIDE_BY_SIDE:
+            found = [cut(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _doubling(jump: DataFrame, seen: DataFrame) -> DataFrame:
+    """``jump`` leads ``2 ** k`` steps on in round ``k``, and ``seen`` holds all nodes nearer than that."""
+    length, before = 1, seen.count()
+    while True:
+        on = seen.join(jump, "node").select(F.col("next").alias("node"), (F.col("distance") + length).alias("distance"))
+        seen = cut(seen.unionByName(on).groupBy("node").agg(F.min("distance").alias("distance")))
+        now = seen.count()
+        if now == before:
+            return seen
+        before, length = now, 2 * length
+        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("later"))
+        jump = cut(jump.join(ahead, "next").select("node", F.col("later").alias("next")))
 
 
 def relatives(edges: DataFrame, named: DataFrame, with_children: bool = False,

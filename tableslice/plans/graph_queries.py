@@ -97,6 +97,32 @@ def _(t: Sample):
     return reachable(_tree(t), seeds, "children", depth=2)
 
 
+_CHAIN_SEED = "c_mktsegment = 'MACHINERY' AND c_acctbal > 9000"
+
+
+@query("reachable_chain", f"""
+WITH s AS (SELECT *, min(CASE WHEN {_CHAIN_SEED} THEN c_custkey END) OVER (
+             ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS seed FROM customer)
+SELECT c_custkey AS node, (seed - c_custkey)::INTEGER AS distance FROM s WHERE seed IS NOT NULL
+""")
+def _(t: Sample):
+    """One chain through all customers, followed down from a few of them."""
+    key = F.col("c_custkey")
+    chain = t.customer.filter(key > 0).select(key.alias("child"), (key - 1).alias("parent"))
+    return reachable(chain, t.customer.filter(_CHAIN_SEED).select(key.alias("node")), "parents")
+
+
+@query("chain_levels", """
+SELECT c_custkey AS node, (row_number() OVER (ORDER BY c_custkey) - 1)::INTEGER AS level FROM customer
+""")
+def _(t: Sample):
+    """As many levels as there are customers."""
+    key = F.col("c_custkey")
+    skips = t.customer.filter(key > 5).select(key.alias("child"), F.floor(key / 3).alias("parent"))
+    chain = t.customer.filter(key > 0).select(key.alias("child"), (key - 1).alias("parent"))
+    return dependency_levels(chain.unionByName(skips), t.customer.select(key.alias("node")))
+
+
 @query("relatives", """
 WITH RECURSIVE named AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9500),
 down(node, d) AS (SELECT node, 0 FROM named
