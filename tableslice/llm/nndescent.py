@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .shared import components, groups_of
+from .shared import components, groups_of, roots
 from .vectors import matrix, usable
 
 #: Length of a neighbour list, and of the reverse list beside it in a round.
@@ -17,8 +17,10 @@ K = 10
 ORDERS, SIGNS, REACH = 4, 12, 4
 #: Rounds at most; they end when fewer than this share of all list places changed.
 ROUNDS, STILL = 4, 0.005
-#: Vectors the audit compares with every other, and the recall of links it asks for.
-AUDIT, RECALL = 256, 0.98
+#: Vectors with full and with other lists that an audit compares with every other, and the recall it asks of a class.
+AUDIT, RECALL = 256, 0.99
+#: Turns with longer and longer lists; a class that no audit has passed by then is compared exactly.
+TURNS = 3
 #: Rows of one side of an exact comparison within a component.
 BLOCK = 2048
 
@@ -154,11 +156,13 @@ def neighbour_graph(nodes: DataFrame, k: int, seed: int, graph: DataFrame | None
     return graph.drop("fresh")
 
 
-def _counts_in_blocks(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
-    """``id, n``: how many copies in ``right`` rows of its ``key`` are at least ``threshold`` similar, itself left out.
+def _in_blocks(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``id, n, to``: rows of ``left`` and how many copies in ``right`` of their ``key`` are at least ``threshold`` similar.
 
     Both sides (``key, id, x, copies``) are dealt into blocks of about ``BLOCK``
-    rows; each pair of blocks is one group, which gives counts per row, no pairs.
+    rows; each pair of blocks is one group.  It gives a count for each row,
+    itself left out, and the links of a forest that spans what is linked in it
+    (``to``, with ``n`` 0), but no pairs.
     """
     def blocked(df):
         size = df.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
@@ -174,53 +178,93 @@ def _counts_in_blocks(left: DataFrame, right: DataFrame, key: str, threshold: fl
     b = right.join(sizes, key).select(key, "id", "x", "copies", part("rb").alias("j"), every("lb").alias("i"))
 
     def compare(x, y):
-        if not x.num_rows or not y.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
+        if not len(ids) or not len(others):
+            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "n", "to")})
         u, v = _unit(matrix(x.column("x"))), _unit(matrix(y.column("x")))
         copies, n = y.column("copies").to_numpy(), np.zeros(len(ids), np.int64)
+        known, place = np.unique(np.concatenate((ids, others)), return_inverse=True)
+        label = np.arange(len(known))
         for at in range(0, len(ids), 256):
             near = (u[at: at + 256] @ v.T >= threshold) & (ids[at: at + 256, None] != others[None, :])
             n[at: at + 256] = near @ copies
-        return pa.table({"id": ids, "n": n})
+            i, j = np.nonzero(near)
+            label = roots(len(known), label[place[at + i]], label[place[len(ids) + j]])[label]
+        tied = np.flatnonzero(label != np.arange(len(known)))
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.table({
+            "id": np.concatenate((ids, known[tied])), "n": np.concatenate((n, np.zeros(len(tied), np.int64))),
+            "to": pa.concat_arrays([none, pa.array(known[label[tied]], pa.int64())])})
 
     keys = [key, "i", "j"]
     b = b.toDF(*b.columns)  # columns of its own, also where both sides come from one table
-    got = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(compare, "id long, n long")
-    return got.groupBy("id").agg(F.sum("n").alias("n"))
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(compare, "id long, n long, to long")
+
+
+def _counts_in_blocks(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``id, n`` of ``_in_blocks``, added up."""
+    return _in_blocks(left, right, key, threshold).filter("to IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def linked(nodes: DataFrame, graph: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links at ``threshold`` or above: ``id, n`` (how many copies it links to) and ``id, root``.
+def linked(nodes: DataFrame, graph: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links at ``threshold`` or above: ``id, n, full`` (how many copies it links to) and the links, ``src, dst``; ``id, root``.
 
-    A list whose ``k`` places all hold links is saturated: there may be more.  It
+    A list whose ``k`` places all hold links is full: there may be more.  It
     is enlarged to all vectors of the component that the links span, compared
     exactly in blocks and counted, not listed.
     """
     strong = cut(graph.filter(F.col("sim") >= threshold).select("src", "dst"))
     full = strong.groupBy("src").count().filter(F.col("count") >= k).select(F.col("src").alias("id"))
-    roots = cut(components(strong, "src", "dst").withColumnRenamed("node", "id"))
+    rooted = cut(components(strong, "src", "dst").withColumnRenamed("node", "id"))
     either = strong.union(strong.select("dst", "src")).distinct()
     listed = either.join(nodes.select(F.col("id").alias("dst"), "copies"), "dst").groupBy(
         F.col("src").alias("id")).agg(F.sum("copies").alias("n"))
-    wide = cut(roots.join(full, "id"))
-    members = roots.join(wide.select("root").distinct(), "root").join(nodes, "id").select("root", "id", "x", "copies")
+    wide = cut(rooted.join(full, "id"))
+    members = rooted.join(wide.select("root").distinct(), "root").join(nodes, "id").select("root", "id", "x", "copies")
     counted = _counts_in_blocks(
         wide.join(nodes, "id").select("root", "id", "x"), members, "root", threshold)
     n = listed.join(counted.withColumnRenamed("n", "all"), "id", "left").select(
-        "id", F.greatest("n", F.coalesce("all", F.lit(0))).alias("n"))
-    return cut(n), roots
+        "id", F.greatest("n", F.coalesce("all", F.lit(0))).alias("n"), F.col("all").isNotNull().alias("full"))
+    return cut(n), strong, rooted
+
+
+def _shares(nodes: DataFrame, counts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """``kind, share`` of the links that ``counts`` knows of drawn vectors that have any.
+
+    ``size`` vectors with full lists and as many others are drawn by a hash and
+    compared with all of their class.  Each of them counts alike, so that a few
+    with many links cannot speak for the rest.
+    """
+    if "full" not in counts.columns:
+        counts = counts.withColumn("full", F.lit(False))
+    told = nodes.join(counts, "id", "left").select(
+        "id", "kind", "x", F.coalesce("n", F.lit(0)).alias("found"), F.coalesce("full", F.lit(False)).alias("full"))
+    by_hash = F.xxhash64("id", F.lit("audit"))
+    drawn = cut(told.filter("full").orderBy(by_hash).limit(size).unionByName(
+        told.filter("NOT full").orderBy(by_hash).limit(size)))
+    true = _counts_in_blocks(drawn.select("kind", "id", "x"), nodes.select("kind", "id", "x", "copies"), "kind", threshold)
+    return drawn.join(true, "id").filter("n > 0").select("kind", (F.least("n", "found") / F.col("n")).alias("share"))
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Share of the links of ``size`` vectors, drawn by a hash, that ``counts`` knows; all vectors are compared."""
-    drawn = cut(nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(size).withColumnRenamed("kind", "root"))
-    true = _counts_in_blocks(
-        drawn.select("root", "id", "x"), nodes.withColumnRenamed("kind", "root").select("root", "id", "x", "copies"),
-        "root", threshold)
-    row = true.join(counts.withColumnRenamed("n", "found"), "id", "left").agg(
-        F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0)))).alias("found")).first()
-    return 1.0 if not row["n"] else row["found"] / row["n"]
+    """Average share of a drawn vector's links that ``counts`` knows; 1 where none has any."""
+    return _shares(nodes, counts, threshold, size).agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
+
+
+def short_classes(nodes: DataFrame, counts: DataFrame, threshold: float, recall: float, size: int = AUDIT) -> DataFrame:
+    """``kind`` of the classes of whose drawn vectors ``counts`` knows less than ``recall`` of the links."""
+    shares = _shares(nodes, counts, threshold, size)
+    return cut(shares.groupBy("kind").agg(F.avg("share").alias("recall")).filter(F.col("recall") < recall).select("kind"))
+
+
+def finished(nodes: DataFrame, counts: DataFrame, strong: DataFrame, short: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Counts and components once the classes ``short`` (``kind``) have been compared exactly, block by block."""
+    rows = nodes.join(short, "kind", "left_semi").select("kind", "id", "x", "copies")
+    exact = cut(_in_blocks(rows.drop("copies"), rows, "kind", threshold))
+    n = exact.filter("to IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = counts.select("id", "n").join(n.select("id"), "id", "left_anti").unionByName(n)
+    links = strong.unionAll(exact.filter("to IS NOT NULL").select(F.col("id").alias("src"), F.col("to").alias("dst")))
+    return cut(counts), cut(components(links, "src", "dst").withColumnRenamed("node", "id"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K, seed: int = 11,
@@ -236,9 +280,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K, see
     there.  Exact copies are one node, so they are never paired with each other;
     repeated rows count as copies.  Other columns are ignored; no rows give none.
 
-    The graph is approximate: an audit compares a sample with all vectors, and
-    while it knows less than ``recall`` of their links, twice as long lists are
-    refined from other orders.
+    The graph is approximate: an audit compares a sample with all vectors.  While
+    it knows less than ``recall`` of their links in some class, twice as long
+    lists are refined from other orders; classes still below that after ``TURNS``
+    turns are compared exactly, all vectors with all, in blocks.
     """
     x = F.col("embedding").cast("array<double>")
     taking = usable(F.col("embedding").cast("array<double>")) & F.exists(x, lambda v: v != 0) & F.col("label").isNotNull()
@@ -251,12 +296,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = K, see
     ).withColumn("id", F.monotonically_increasing_id()).withColumn("kind", F.xxhash64("label", F.size("x")))
     nodes = cut(classes)
     graph = None
-    for turn in range(4):
+    for turn in range(TURNS):
         graph = neighbour_graph(nodes, k << turn, seed + turn, graph)
-        counts, roots = linked(nodes, graph, k << turn, threshold)
-        if turn == 3 or audit(nodes, counts, threshold) >= recall:
+        counts, strong, tied = linked(nodes, graph, k << turn, threshold)
+        short = short_classes(nodes, counts, threshold, recall)
+        if short.isEmpty():
             break
-    rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select(
+    else:
+        counts, tied = finished(nodes, counts, strong, short, threshold)
+    rooted = nodes.join(tied, "id", "left").withColumn("root", F.coalesce("root", "id")).select(
         "id", "label", "x", "first", "copies", "root")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").join(counts, "id", "left").select(

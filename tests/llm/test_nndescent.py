@@ -70,3 +70,19 @@ def test_audit_sees_missing_links(spark):
     assert nndescent.audit(df, none, 0.98) == 0.0
     true = spark.createDataFrame([(r[0], r[1]) for r in slow(rows)], "id long, n long")
     assert nndescent.audit(df, true, 0.98) == 1.0
+
+
+def test_clusters_of_clusters_lose_no_link(spark):
+    """Two tight clusters of 90, near enough to link, fill each other's lists with their own."""
+    rng = np.random.default_rng(3)
+    center = np.zeros((2, 32))
+    center[0, 0] = 1.0
+    center[1, :2] = np.cos(0.172), np.sin(0.172)
+    x = np.repeat(center, 90, axis=0) + rng.normal(scale=0.0035, size=(180, 32))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    assert near[:90, 90:].mean() > 0.9
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(near[i].sum()) - 1 for i in range(180)}
+    assert {r["component_id"] for r in got} == {0}
