@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .shared import give_back
 
 #: A stripe is dealt out in so many parts, by the hash of the next word, so that no word's is in one task.
 PARTS = 16
 #: Bytes of a language's text a task turns into stripes at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Words whose three-word runs are counted at once; three word numbers then fit one 64-bit key.
-WORDS = 2_000_000
+WORDS = 700_000
 _BITS = 21
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -154,6 +155,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush(max(sizes, key=sizes.get))
     for lang in list(held):
         yield from flush(lang)
+    give_back()
 
 
 def merged_stripes(docs: DataFrame, at_least: int) -> DataFrame:
