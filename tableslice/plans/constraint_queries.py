@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import parse_text
 from ..operators.checks import indexed_violations, row_violations
+from ..operators.contracts import contract_violations
 from ..operators.diff import removed_keys, row_diff
 from ..operators.documents import filter_document
 from ..operators.merge import merge_documents, merge_upsert
@@ -297,3 +298,36 @@ def _(t: Sample):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.when(
         F.col("l_quantity") > 45, "x").otherwise("").alias("l_returnflag"), "l_quantity")
     return indexed_violations(rows, _PARTS, SliceSpec("parts", load="insert", order_by=("l_orderkey",)))
+
+
+@query("contract_violations", """
+WITH d AS (SELECT *, 'size: ' || p_size AS label FROM part)
+SELECT p_partkey AS id, 'size' AS path, 'bsonType' AS rule, 'string' AS found FROM d WHERE p_size % 5 = 0
+UNION ALL SELECT p_partkey, 'info.brand', 'required', NULL FROM d WHERE p_size % 7 = 0
+UNION ALL SELECT p_partkey, 'info.kind', 'enum', '"' || p_type || '"' FROM d
+  WHERE p_type NOT IN (SELECT min(p_type) FROM part)
+UNION ALL SELECT p_partkey, 'marks[1].n', 'bsonType', 'string' FROM d WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'marks[' || i || '].at', 'required', NULL FROM d, (VALUES (0), (1)) x(i)
+  WHERE i = 0 AND p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'marks', 'bsonType', 'null' FROM d WHERE false
+""")
+def _(t: Sample):
+    """Nested documents made of parts, against a contract whose labels come from the rows."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit('{"_id":'), F.col("p_partkey").cast("string"), F.lit(',"size":'),
+        F.when(F.col("p_size") % 5 == 0, F.concat(F.lit('"'), size, F.lit('"'))).otherwise(size),
+        F.lit(',"info":{"kind":"'), "p_type", F.lit('"'),
+        F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.lit(',"brand":null')),
+        F.lit('},"marks":[{"n":1'), F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.lit(',"at":2')),
+        F.lit('},{"at":3,"n":'), F.when(F.col("p_size") % 3 == 0, F.lit('"x"')).otherwise(F.lit("4")), F.lit("}]}"))
+    docs = t.part.select("p_partkey", F.parse_json(text).alias("doc"))
+    contract = {"bsonType": "object", "required": ["_id", "size", "info"], "properties": {
+        "size": {"bsonType": "number"},
+        "info": {"bsonType": "object", "required": ["brand", "kind"], "properties": {
+            "kind": {"enum": [t.part.agg(F.min("p_type")).first()[0]]}, "brand": {"bsonType": ["string", "null"]}}},
+        "marks": {"bsonType": ["array", "null"], "items": {
+            "bsonType": "object", "required": ["at"], "properties": {"n": {"bsonType": ["int", "long"]}}}},
+        "absent": {"bsonType": "string", "required": ["x"]},
+    }}
+    return contract_violations(docs, contract, F.col("p_partkey"))

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..errors import SHOWN, MergeConflict, ReadOnlyTarget, SpecError, more
 from ..operators.checks import check_rows, row_violations, unique_violations, verify_tables
-from ..operators.counts import row_counts
+from ..operators.counts import next_identity, row_counts
 from ..operators.diff import diff_counts, row_diff
 from ..operators.digest import table_digests
 from ..operators.drift import gate
 from ..operators.graph import load_order
-from ..operators.merge import merge_result, merge_table
+from ..operators.merge import merge_table
 from ..operators.refs import DEFAULT_MAX_DEPTH, check_references, follow_parents
 from ..operators.slicing import cut_table
 from ..sources.commit import committed, discard, publish, stage_tables
@@ -163,6 +163,7 @@ class Load:
 
     plan: DataFrame
     results: DataFrame | None = None
+    identities: DataFrame | None = None
     changes: DataFrame | None = None
     paths: dict[str, str] | None = None
 
@@ -202,16 +203,44 @@ def load(
         n: merge_table(targets[n], seeds[n], schema.tables[n], by_name[n])
         for n in load_order(schema, by_name).tables
     }
-    results = reduce(DataFrame.unionByName, [
-        merge_result(targets[n], seeds[n], schema.tables[n], by_name[n]) for n in by_name])
-    # One row per table; taken now, since it reads tables that a later prune may remove.
-    results = spark.createDataFrame(results.collect(), results.schema)
     paths = stage_tables(merged, root)
     try:
         staged = _staged(spark, root, paths)
         _refuse(load_violations(staged, schema))
         _refuse_dangling(check_references({**targets, **staged}, schema))
+        results = _results(seeds, targets, staged, by_name)
+        identities = _identities(staged, schema)
     except BaseException:
         discard(spark, root, paths)
         raise
-    return Load(plan, results=results, paths=publish(spark, root, paths))
+    return Load(plan, results=results, identities=identities, paths=publish(spark, root, paths))
+
+
+def _results(seeds: Mapping[str, DataFrame], targets: Mapping[str, DataFrame], staged: Mapping[str, DataFrame],
+             slices: Mapping[str, SliceSpec]) -> DataFrame:
+    """``table, mode, rows, affected, deleted``, from row counts: no merge is evaluated again.
+
+    One row per table; taken now, since a later prune may remove the targets.
+    """
+    def counted(tables):
+        return {r["table"]: r["rows"] for r in row_counts({n: tables[n] for n in seeds}).collect()}
+
+    given, before, after = counted(seeds), counted(targets), counted(staged)
+    rows = []
+    for n, slc in slices.items():
+        mode = slc.load
+        affected = after[n] - before[n] if mode == "skip_existing" else given[n]
+        rows.append((n, mode, given[n], affected, before[n] if mode == "truncate_first" else 0))
+    spark = next(iter(seeds.values())).sparkSession
+    return spark.createDataFrame(rows, "table string, mode string, rows long, affected long, deleted long")
+
+
+def _identities(staged: Mapping[str, DataFrame], schema: SchemaSpec) -> DataFrame:
+    """``table, next``: the next free number of every loaded table whose key is one whole number."""
+    found = []
+    for n, df in staged.items():
+        key = schema.tables[n].primary_key
+        if len(key) == 1 and schema.tables[n].require(key[0], "key").kind == "int":
+            found.append((n, next_identity(df, key[0]).first()["next"]))
+    spark = next(iter(staged.values())).sparkSession
+    return spark.createDataFrame(found, "table string, next long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import parse_failed
 from ..operators.checks import check_rows, unique_violations, verify_tables
+from ..operators.counts import row_counts
 from ..operators.diff import diff_counts, removed_keys, row_diff
 from ..operators.digest import table_digests
 from ..operators.merge import (
@@ -16,8 +18,10 @@ from ..operators.merge import (
     merge_truncate_first, merge_upsert,
 )
 from ..operators.refs import check_references
-from ..spec import ColumnSpec, SliceSpec, TableSpec, UniqueKey, int_col, text_col
-from .load import load_plan
+from ..session import ensure_checkpoint_dir, scratch
+from ..sources.commit import committed
+from ..spec import ColumnSpec, SchemaSpec, SliceSpec, TableSpec, UniqueKey, int_col, text_col
+from .load import load, load_plan
 from .registry import Sample, dbl, query
 from .testmodel import SCHEMA
 
@@ -420,3 +424,28 @@ def _(t: Sample):
     return plan.select("position", "table", "rows", "mode", F.array_join("key", ", ").alias("key"), "destructive")
 
 
+@query("load_end_to_end", f"""
+WITH {SEED_SQL},
+more AS (SELECT c_custkey + 1000000000 AS c_custkey, c_nationkey FROM customer WHERE c_custkey % 10 = 0),
+merged AS (SELECT * FROM seed UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM seed))
+SELECT 'orders' AS "table", 'upsert' AS mode, (SELECT count(*) FROM seed) AS rows, (SELECT count(*) FROM seed) AS affected,
+  CAST(0 AS BIGINT) AS deleted, (SELECT count(*) FROM merged) AS held, (SELECT max(o_orderkey) + 1 FROM merged) AS next
+UNION ALL SELECT 'customer', 'skip_existing', (SELECT count(*) FROM more) + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0),
+  (SELECT count(*) FROM more), 0, (SELECT count(*) FROM customer) + (SELECT count(*) FROM more),
+  (SELECT max(c_custkey) + 1 FROM more)
+UNION ALL SELECT 'region', 'truncate_first', (SELECT count(*) FROM region), (SELECT count(*) FROM region),
+  (SELECT count(*) FROM region), (SELECT count(*) FROM region), (SELECT max(r_regionkey) + 1 FROM region)
+""")
+def _(t: Sample):
+    """Three tables merged in three modes, checked, published together, and read back from the commit."""
+    targets = t.some("orders", "customer", "nation", "region")
+    key = F.col("c_custkey")
+    fresh = t.customer.filter(key % 10 == 0).withColumn("c_custkey", key + 1_000_000_000)
+    seeds = {"orders": order_seed(t), "customer": t.customer.filter(key % 3 == 0).unionByName(fresh), "region": t.region}
+    slices = [SliceSpec("orders", load="upsert"), SliceSpec("customer", load="skip_existing"),
+              SliceSpec("region", load="truncate_first")]
+    root = scratch(t.spark, f"{ensure_checkpoint_dir(t.spark)}/load-{uuid.uuid4().hex}")
+    done = load(targets, seeds, SchemaSpec({n: SCHEMA.tables[n] for n in targets}), slices, root, allow_truncate=["region"])
+    held = row_counts({n: t.spark.read.parquet(p) for n, p in committed(t.spark, root).items()}).withColumnRenamed("rows", "held")
+    return done.results.join(held, "table").join(done.identities, "table").select(
+        "table", "mode", "rows", "affected", "deleted", "held", "next")
