@@ -45,7 +45,10 @@ def _broken(when: Column, path: Column, rule: str, found: Column) -> Column:
 
 
 def _field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
+    quote = "'" if "'" not in name else '"'
+    if quote in name:
+        raise SpecError(f"the field name {name!r} holds both kinds of quotes, which no path can say")
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
 
 
 def _inside(path: Column, name: str) -> Column:
