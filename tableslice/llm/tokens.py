@@ -19,7 +19,7 @@ from ..session import ensure_checkpoint_dir, scratch
 from .shared import give_back
 
 #: Bytes of words and their ids a tokenizer remembers in a worker, twice: those used since, and those used before.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 40 << 20
 #: A longer word is encoded each time; what a remembered one takes besides its bytes.
 MEMO_WORD, MEMO_ENTRY = 256, 170
 #: A record file is closed once it is this large.
