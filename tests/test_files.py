@@ -28,15 +28,15 @@ UTC = datetime.timezone.utc
 
 
 def samples(spark):
-    dst = datetime.datetime(2024, 11, 3, 5, 30, tzinfo=UTC)
+    dst = datetime.datetime(2023, 10, 29, 0, 30, tzinfo=UTC)
     return spark.createDataFrame([
-        (1, Decimal("12345678901234567890.1234567890"), -32768, -(2**63), 3.141592653589793,
-         bytearray(b"\xde\xad\xbe\xef\x00\xff"), dst, datetime.datetime(2024, 1, 1, 0, 0, 0, 120000),
-         datetime.date(2024, 2, 29), True, '{"a":{"b":[1,2.50]},"z":null}', 'q"q, \\ \'s\'\nnew\tline'),
+        (1, Decimal("90817263544536271809.0918273645"), -32768, -(2**63), 0.14285714285714285,
+         bytearray(b"\x01\x80\x7f\x00\xc3"), dst, datetime.datetime(2018, 6, 5, 4, 3, 2, 10000),
+         datetime.date(2000, 2, 29), True, '{"m":[0.10,{"k":null}],"c":{}}', '5" pipe, C:\\temp; it\'s\ton\ntwo lines'),
         (2, Decimal("-0.0000000001"), 32767, 2**63 - 1, float("nan"), bytearray(), dst,
-         datetime.datetime(1999, 12, 31, 23, 59, 59), None, False, '"a string"', ""),
+         datetime.datetime(1969, 7, 20, 20, 17, 40), None, False, '"just text"', ""),
         (3, Decimal("0.0000000000"), None, None, float("-inf"), None, None, None, None, None, None, None),
-        (4, None, None, None, 1e300, None, None, None, None, None, "3", "  pad é 🎉 漢字  "),
+        (4, None, None, None, 1e300, None, None, None, None, None, "3", " ñandú 🚲 ドア\u00a0"),
     ], COLS)
 
 
@@ -57,10 +57,10 @@ def test_jsonl_lines(spark, tmp_path):
     path = str(tmp_path / "s")
     write_jsonl(samples(spark).select("id", "exact", "approx", "payload", "at", "meta"), path, SAMPLES)
     assert [r["value"] for r in spark.read.text(path).collect()][:3] == [
-        '{"id":1,"exact":12345678901234567890.1234567890,"approx":3.141592653589793,'
-        '"payload":"\\\\xdeadbeef00ff","at":"2024-11-03T05:30:00Z","meta":{"a":{"b":[1,2.50]},"z":null}}',
-        '{"id":2,"exact":-0.0000000001,"approx":"NaN","payload":"\\\\x","at":"2024-11-03T05:30:00Z",'
-        '"meta":"\\"a string\\""}',
+        '{"id":1,"exact":90817263544536271809.0918273645,"approx":0.14285714285714285,'
+        '"payload":"\\\\x01807f00c3","at":"2023-10-29T00:30:00Z","meta":{"m":[0.10,{"k":null}],"c":{}}}',
+        '{"id":2,"exact":-0.0000000001,"approx":"NaN","payload":"\\\\x","at":"2023-10-29T00:30:00Z",'
+        '"meta":"\\"just text\\""}',
         '{"id":3,"exact":0.0000000000,"approx":"-Infinity","payload":null,"at":null,"meta":null}']
 
 
