@@ -156,3 +156,74 @@ def _(t: Sample):
         double_col("l_tax"),
     ))).unionByName(narrowing_impact(t.documents, docs, TableSpec("documents", (
         text_col("text", 2000), text_col("source", 4), int_col("n_chars")))))
+
+
+def _labels(t: Sample, column: str) -> tuple[str, ...]:
+    """The labels the rows of orders show, in order."""
+    return tuple(r[0] for r in t.orders.select(column).distinct().orderBy(column).collect())
+
+
+def _evolved(t: Sample) -> tuple[SchemaSpec, SchemaSpec]:
+    """A record of orders and customers, and what they became; labels, lengths and nulls are read from the rows."""
+    priorities, states = _labels(t, "o_orderpriority"), _labels(t, "o_orderstatus")
+    longest = t.customer.agg(F.max(F.length("c_name"))).first()[0]
+    full = t.orders.filter("o_totalprice IS NULL").isEmpty()
+    key = [int_col("o_orderkey", nullable=False), int_col("o_custkey")]
+    was = SchemaSpec.of(
+        TableSpec("orders", (
+            *key, ColumnSpec("o_orderpriority", "enum", type_name="priority"), ColumnSpec("o_orderstatus", "enum", type_name="status"),
+            double_col("o_totalprice"), text_col("o_flag"), text_col("o_same")),
+            ("o_orderkey",), (UniqueKey(("o_flag",)),),
+            (ForeignKey(("o_custkey",), "customer", ("c_custkey",)), ForeignKey(("o_same",), "customer", ("c_name",)))),
+        TableSpec("customer", (int_col("c_custkey"), text_col("c_name", longest), ColumnSpec("c_segment", "enum", type_name="segment")),
+                  ("c_custkey",)),
+        TableSpec("archive", (int_col("id"),), ("id",)),
+        enums={"priority": (priorities[0], "0-NEVER"), "status": states[::-1], "segment": ("x", "y")})
+    now = SchemaSpec.of(
+        TableSpec("orders", (
+            text_col("o_same"), text_col("o_flag", generated=True), text_col("o_remark"), text_col("o_must", nullable=False),
+            double_col("o_totalprice", nullable=not full, has_default=True), ColumnSpec("o_orderstatus", "enum", type_name="state"),
+            ColumnSpec("o_orderpriority", "enum", type_name="priority"), *key[::-1]),
+            ("o_orderkey", "o_custkey"), (UniqueKey(("o_flag",)),),
+            (ForeignKey(("o_custkey",), "clients", ("id",)), ForeignKey(("o_same",), "customer", ("c_name",)),
+             ForeignKey(("o_remark",), "clients", ("id",)))),
+        TableSpec("customer", (text_col("c_segment"), text_col("c_name", longest + 1), int_col("c_custkey")), ("c_custkey",)),
+        TableSpec("clients", (int_col("id"),), ("id",)),
+        enums={"priority": priorities, "state": states})
+    return was, now
+
+
+_EVOLVED_SQL = """
+WITH p AS (SELECT DISTINCT o_orderpriority AS label FROM orders),
+n AS (SELECT max(length(c_name)) AS longest FROM customer),
+d(severity, "table", "column", what) AS (
+  SELECT 'benign', 'clients', NULL, 'table added'
+  UNION ALL SELECT 'benign', 'orders', 'o_remark', 'column added (text, nullable)'
+  UNION ALL SELECT 'breaking', 'orders', 'o_must', 'column added (text, NOT NULL with no default)'
+  UNION ALL SELECT 'breaking', 'orders', NULL, 'primary key (o_orderkey) -> (o_orderkey, o_custkey)'
+  UNION ALL SELECT 'benign', 'orders', 'o_totalprice', 'nullable -> NOT NULL' WHERE (SELECT count(*) = count(o_totalprice) FROM orders)
+  UNION ALL SELECT 'breaking', 'orders', 'o_flag', 'column became generated'
+  UNION ALL SELECT 'breaking', 'orders', NULL, 'foreign key on (o_custkey) retargeted: customer(c_custkey) -> clients(id)'
+  UNION ALL SELECT 'breaking', 'orders', NULL, 'foreign key added on (o_remark) -> clients(id)'
+  UNION ALL SELECT 'benign', 'customer', 'c_name', 'varchar(' || longest || ') -> varchar(' || (longest + 1) || ')' FROM n
+  UNION ALL SELECT 'benign', 'customer', 'c_segment', 'enum segment -> text'
+  UNION ALL SELECT 'breaking', 'orders', 'o_custkey', 'nullable -> NOT NULL'  -- part of the key now
+  UNION ALL SELECT 'breaking', 'orders', NULL, 'enum priority: label "0-NEVER" removed'
+  UNION ALL SELECT 'benign', 'orders', NULL, 'enum priority: label "' || label || '" added' FROM p
+    WHERE label > (SELECT min(label) FROM p))
+SELECT false AS creatable, * FROM d
+UNION ALL SELECT false, 'needs confirmation', 'archive', NULL, 'table dropped'
+UNION ALL SELECT false, 'breaking', 'customer', NULL, 'enum type segment dropped'
+UNION ALL SELECT true, * FROM d
+UNION ALL SELECT true, 'benign', 'archive', NULL, 'not in the target yet'
+"""
+
+
+@query("drift_rules", _EVOLVED_SQL)
+def _(t: Sample):
+    """Tables, keys, references, labels and columns that change; what is only renamed or moved says nothing."""
+    was, now = _evolved(t)
+    def lines(creatable):
+        return schema_drift(catalog(t.spark, was), catalog(t.spark, now), creatable).select(
+            F.lit(creatable).alias("creatable"), "severity", "table", "column", "what")
+    return lines(False).unionByName(lines(True))
