@@ -18,6 +18,7 @@ from ..operators.slicing import col, total_order
 from ..session import pin_session
 from ..spec import ColumnSpec, SliceSpec, TableSpec, merge_key
 from .records import csv_records
+from .store import list_files, write_named
 
 DEFAULT_SQL_BATCH = 100
 
@@ -284,18 +285,13 @@ def row_slugs(df: DataFrame, spec: TableSpec, name: str = "slug") -> DataFrame:
 
 def write_per_row(df: DataFrame, path: str, spec: TableSpec, mode: str = "unroll",
                   pretty: bool = True) -> None:
-    """One JSON file per row below ``slug=<name>/``.  For small tables.
-
-    A partitioned write, so the files go through Spark's commit protocol to
-    whatever file system the path names.
-    """
+    """One JSON file per row, ``<path>/<slug>.json``.  For small tables."""
     named = row_slugs(df, spec)
-    named.select(json_row(df, spec, mode, pretty).alias("value"), "slug").write.mode(
-        "overwrite").partitionBy("slug").text(path)
+    write_named(named.select(F.col("slug").alias("name"), json_row(df, spec, mode, pretty).alias("value")), path)
 
 
 def read_per_row(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """Rows of such a directory; ``slug`` only names files and is not read."""
+    """Rows of such a directory, whatever its files are called."""
     pin_session(spark)
     rows = (
         spark.read.schema(_string_schema(spec)).option("mode", "FAILFAST")
@@ -321,8 +317,8 @@ def read_objects(spark: SparkSession, root: str, prefix: str = "",
 
     Path and length are known from the listing; a job that does not use
     ``content`` reads no bytes.  An object above ``max_bytes`` is an error.
-    Spark's file readers pass over empty files, so their names are listed
-    beside; ``empty=False`` saves that listing where there are none.
+    Spark's file readers pass over empty files, so tasks list those beside;
+    ``empty=False`` saves that listing where there are none.
     """
     base = f"{root.rstrip('/')}/{prefix.strip('/')}" if prefix else root
     files = pin_session(spark).read.format("binaryFile").option(
@@ -333,8 +329,8 @@ def read_objects(spark: SparkSession, root: str, prefix: str = "",
         if shown:
             raise SpecError(f"object(s) above {max_bytes} bytes: " + ", ".join(
                 f"{r['path']} ({r['length']})" for r in shown) + more(large, shown))
-    if empty and (names := _empty_files(spark, base)):
-        none = spark.createDataFrame([(n,) for n in names], "path string")
+    if empty:
+        none = list_files(spark, base).filter("length = 0")
         files = files.unionByName(none.select(
             "path", F.lit(0).cast("bigint").alias("length"), F.unhex(F.lit("")).alias("content")))
     plain = root.rstrip("/").split(":", 1)[-1].lstrip("/")
@@ -342,18 +338,6 @@ def read_objects(spark: SparkSession, root: str, prefix: str = "",
     return files.select(key.alias("path"), "length", "content")
 
 
-def _empty_files(spark: SparkSession, base: str) -> list[str]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found, walk = [], fs.listFiles(at, True)
-    while walk.hasNext():
-        status = walk.next()
-        name = status.getPath().getName()
-        if status.getLen() == 0 and not name.startswith((".", "_")):
-            found.append(status.getPath().toString())
-    return found
-
-
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 

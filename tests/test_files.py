@@ -119,7 +119,12 @@ def test_per_row_files(spark, tmp_path):
     assert len(set(names)) == 5 and {"a-b", "a-b-2", "empty"} <= set(names)
     write_per_row(df, str(tmp_path / "r"), spec)
     assert same(read_per_row(spark, str(tmp_path / "r"), spec), df)
-    one = next((tmp_path / "r" / "slug=empty").glob("part-*")).read_text()
+    # A file is named by its row's slug, and nothing else is left there; writing again replaces them.
+    assert {f.name for f in (tmp_path / "r").iterdir() if f.suffix == ".json"} == {f"{n}.json" for n in names}
+    assert not [f for f in (tmp_path / "r").iterdir() if f.is_dir()]
+    write_per_row(df.filter("n <> 1"), str(tmp_path / "r"), spec)
+    assert read_per_row(spark, str(tmp_path / "r"), spec).count() == 4
+    one = (tmp_path / "r" / "empty.json").read_text()
     assert json.loads(one) == {"key": "é", "n": 4} and one.startswith('{\n  "key": ')
 
 
