@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, scratch
 from .shared import give_back
 
-#: Bytes of words and their ids a tokenizer remembers in a worker, twice: those used since, and those used before.
-MEMO_BYTES = 40 << 20
-#: A longer word is encoded each time; what a remembered one takes besides its bytes.
-MEMO_WORD, MEMO_ENTRY = 256, 170
+#: Words a tokenizer remembers in a worker before it starts anew; longer ones are encoded each time.
+MEMO, MEMO_WORD = 400_000, 64
 #: A record file is closed once it is this large.
 FILE_BYTES = 64 << 20
 
@@ -47,8 +45,6 @@ class Encoder:
         probes = [*letters, letters, letters[::-1], "the", "thoughtlessness", "geb\u00e4udestra\u00dfe"]
         self.direct = by_words and [self._plain(w.encode()) for w in probes] == self._encode(probes)
         self.memo: dict[bytes, bytes] = {}
-        self.earlier: dict[bytes, bytes] = {}
-        self.size = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -81,18 +77,15 @@ class Encoder:
         if None in out:
             places = [i for i, ids in enumerate(out) if ids is None]
             new = {words[i] for i in places}
-            known = {w: self.earlier[w] for w in new if w in self.earlier}
-            memo.update(known)
-            self._learn(new.difference(known))
+            self._learn(new)
             for i in places:
                 out[i] = memo[words[i]]
-            for w in new:
-                if len(w) > MEMO_WORD:
-                    memo.pop(w, None)
-                else:
-                    self.size += len(w) + len(memo[w]) + MEMO_ENTRY
-            if self.size > MEMO_BYTES:  # words in use come back from there
-                self.memo, self.earlier, self.size = {}, memo, 0
+            if len(max(new, key=len)) > MEMO_WORD:
+                for w in new:
+                    if len(w) > MEMO_WORD:
+                        memo.pop(w, None)
+            if len(memo) > MEMO:
+                memo.clear()
         return b"".join(out)
 
     def _learn(self, words: set[bytes]) -> None:
