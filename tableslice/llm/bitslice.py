@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,7 +16,7 @@ from .vectors import matrix, usable
 
 #: Bits kept of an attribute and of a query's component; the rest is left to the exact check.
 ATTRIBUTE_BITS, QUERY_BITS = 6, 6
-#: Components beyond this many bits take no part: their products would leave 64-bit integers.
+#: Vectors with a component of more bits are not sliced: sums of their products may leave 64-bit integers.
 MAX_BITS = 27
 #: Rows of one index block, queries that meet it together, queries added up at once.
 BLOCK_ROWS, BLOCK_QUERIES, BATCH = 1 << 15, 1 << 14, 128
@@ -146,8 +149,10 @@ def exact_top(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vec_id
 
     A component x is floor(``scale`` * x).  Queries are the rows for which the
     column ``is_query`` holds, candidates all rows with another id.  Vectors
-    that are null, empty, hold null or non-finite components, or integers beyond
-    ``MAX_BITS`` bits take no part; vectors meet only vectors of their length.
+    that are null, empty, or hold null or non-finite components take no part;
+    vectors meet only vectors of their length.  The few with integers beyond
+    ``MAX_BITS`` bits are compared apart, in whole numbers of any length; only a
+    pair whose score does not fit 64 bits has no row.
     Ties go to the smaller id; a null id is no query and no candidate.  Repeated
     rows are candidates each; of repeated query rows one counts.  Fewer than
     ``k`` candidates give fewer rows, no rows give none.
@@ -157,14 +162,19 @@ def exact_top(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vec_id
     query's ``k`` best come back.  A block pair holds a bounded number of rows
     and no product of rows is ever written.
     """
-    data = (
+    def whole(y):  # beyond 2 ** 52 a double is whole anyway
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+    every_row = (
         vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x"),
                        is_query.alias("q"))
         .filter(F.col("id").isNotNull() & usable(F.col("x")))
-        .filter(F.array_max(F.transform("x", lambda x: F.abs(F.floor(x * scale)).cast("double"))) < float(1 << MAX_BITS))
+        .select("id", F.transform("x", lambda x: whole(x * scale)).alias("x"),
+                F.size("x").alias("d"), F.coalesce("q", F.lit(False)).alias("q"))
     )
-    data = cut(data.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("x"),
-                           F.size("x").alias("d"), F.coalesce("q", F.lit(False)).alias("q")))
+    small = F.array_max(F.transform("x", lambda x: F.abs(x))) < float(1 << MAX_BITS)
+    data = cut(every_row.filter(small).withColumn("x", F.col("x").cast("array<int>")))
+    wide = cut(every_row.filter(~small))
     n = data.agg(F.count(F.lit(1)).alias("rows"), F.count_if("q").alias("queries")).first()
     row_blocks = groups_of(n["rows"], BLOCK_ROWS, 12)
     query_blocks = groups_of(n["queries"], BLOCK_QUERIES)
@@ -188,6 +198,35 @@ def exact_top(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vec_id
     keys = ["d", "rb", "qb"]
     found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
         search, "query_id long, vec_id long, score long")
+    if not wide.isEmpty():
+        plain = data.withColumn("x", F.col("x").cast("array<double>"))
+        both = plain.unionByName(wide)
+        found = found.unionByName(_compared(wide, both.filter("q"), k)).unionByName(_compared(plain, wide.filter("q"), k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _compared(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``rows`` for each of ``queries``, compared one by one; ``x`` holds whole numbers as doubles."""
+    n = queries.count()
+    blocks = groups_of(n, 512)
+    parts = groups_of(rows.count(), 4096)
+    deal = lambda b: F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    left = rows.select("id", "x", "d", deal(parts).alias("rb"), every(blocks).alias("qb"))
+    right = queries.select("id", "x", "d", deal(blocks).alias("qb"), every(parts).alias("rb"))
+
+    def search(a, b):
+        out = []
+        known = [(i, [int(v) for v in x]) for i, x in zip(a.column("id").to_pylist(), a.column("x").to_pylist())]
+        wanted = dict(zip(b.column("id").to_pylist(), b.column("x").to_pylist()))
+        for q, x in wanted.items():
+            x = [int(v) for v in x]
+            scored = ((-sum(map(operator.mul, x, y)), i) for i, y in known if i != q)
+            out += [(q, i, -s) for s, i in heapq.nsmallest(k, (p for p in scored if -(1 << 63) < p[0] <= (1 << 63)))]
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    keys = ["d", "rb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")

@@ -38,3 +38,20 @@ def test_odd_vectors(spark):
     assert got == {(0, 1): (50, 3 * 256 * 256), (0, 2): (51, 3 * 256 * 256), (0, 3): (1, 0),
                    (50, 1): (0, 3 * 256 * 256), (50, 2): (0, 3 * 256 * 256), (50, 3): (51, 2 * 256 * 256)}
     assert bitslice.exact_top(vectors.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_wide_integers_take_part(spark):
+    """Beyond the bits that are sliced, as queries and as candidates."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(120)] + [(200, [600_000.0, 1.0, -2.5, 0.0]), (201, [-7e9, 3.0, 1.0, 1.0]),
+            (202, [600_000.0, 1.0, -2.5, 0.0]), (250, [1e14, -1e-20, 0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * v) for v in x] for i, x in rows}
+    got = {}
+    for r in bitslice.exact_top(vectors, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for q in (0, 50, 100, 200, 250):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q)
+        want[q] = [(i, -s) for s, i in scores if abs(s) < 2**63][:5]
+    assert got == want
