@@ -1,10 +1,13 @@
 """Longest ways from the roots of a dependency graph, in rounds that shrink it.
 
 A round takes off sources (their level is known and passed on), sinks (settled
-once their parents are) and every other node or so of a chain (settled from the
-node before it), and puts one longer edge in place of two.  Chains and trees of
-any depth so vanish in a logarithm of rounds, and each round writes only what is
-left.  The rest is settled by one task where it is small.
+once their parents are) and inner nodes with few ways in or out, no two of them
+side by side (settled from the nodes before them); each way in and each way out
+of an inner node become one longer edge, and of equal edges the longest counts.
+Chains and trees of any depth, also with edges that skip ahead, so shrink by a
+share of what is left in most rounds, and each round writes only that.  The rest
+is settled by one task where it is small.  A dense graph, where every node has
+many ways in and out, is taken off from its ends only.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from . import components
 
 #: Tables of settled levels that are read side by side before they are written as one.
 SIDE_BY_SIDE = 8
+#: An inner node may leave this many edges more than it takes off; twice as many
+#: after a round that left more than ``STALLED`` of the edges, none after one that added some.
+MORE_EDGES, MOST_EDGES, STALLED = 4, 64, 0.95
 
 
 def _walk(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -67,19 +73,20 @@ def _in_one_task(edges: DataFrame, base: DataFrame, kind: T.DataType) -> DataFra
     return rows.select("*", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, schema)
 
 
-def _gone(left: DataFrame, base: DataFrame, turn: int) -> DataFrame:
-    """Nodes a round takes off: ``node, what, before, after, into, out_of, base``."""
-    outs = left.groupBy(F.col("u").alias("node")).agg(
-        F.count(F.lit(1)).alias("outs"), F.min("v").alias("after"), F.min("w").alias("out_of"))
-    ins = left.groupBy(F.col("v").alias("node")).agg(
-        F.count(F.lit(1)).alias("ins"), F.min("u").alias("before"), F.min("w").alias("into"))
+def _gone(left: DataFrame, base: DataFrame, turn: int, more: int) -> DataFrame:
+    """Nodes a round takes off: ``node, what, base``; no two ``inner`` ones have an edge."""
+    outs = left.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.bool_or(F.col("u") == F.col("v")).alias("loop"))
+    ins = left.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
+    few = ~F.col("loop") & (F.col("ins") * F.col("outs") <= F.col("ins") + F.col("outs") + more)
+    what = F.when(F.col("ins").isNull(), "source").when(F.col("outs").isNull(), "sink").when(few, "inner")
+    may = cut(outs.join(ins, "node", "full_outer").select("node", what.alias("what")).filter("what IS NOT NULL"))
+    inner = may.filter("what = 'inner'")
+    between = left.join(_of(inner, "node", "u"), "u", "left_semi").join(_of(inner, "node", "v"), "v", "left_semi")
     def place(c):
         return F.xxhash64(F.col(c), F.lit(turn))
-    chained = (F.col("ins") == 1) & (F.col("outs") == 1) & (place("node") > place("before")) & (place("node") > place("after"))
-    what = F.when(F.col("ins").isNull(), "source").when(F.col("outs").isNull(), "sink").when(chained, "chain")
-    return cut(
-        outs.join(ins, "node", "full_outer").withColumn("what", what).filter("what IS NOT NULL").join(base, "node", "left")
-        .select("node", "what", "before", "after", "into", "out_of", F.coalesce("base", F.lit(0).cast("long")).alias("base")))
+    beaten = between.select(F.when(place("u") < place("v"), F.col("u")).otherwise(F.col("v")).alias("node")).distinct()
+    return cut(may.join(beaten, "node", "left_anti").join(base, "node", "left").select(
+        "node", "what", F.coalesce("base", F.lit(0).cast("long")).alias("base")))
 
 
 def _of(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -96,26 +103,35 @@ def longest_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     left = cut(edges.select("u", "v", F.lit(1).cast("long").alias("w")))
     base = nodes.limit(0).select(F.col("node"), F.lit(0).cast("long").alias("base"))
     rounds: list[tuple[DataFrame, DataFrame]] = []
-    count = left.count()
+    count, more = left.count(), MORE_EDGES
     while count > components.SMALL_GRAPH:
-        gone = _gone(left, base, len(rounds))
-        if gone.isEmpty():
-            break  # cycles, and what is between them
-        sources, sinks, chains = (gone.filter(F.col("what") == x) for x in ("source", "sink", "chain"))
-        ends = cut(left.join(_of(sinks, "node", "v"), "v", "left_semi").select("u", F.col("v").alias("node"), "w"))
+        gone = _gone(left, base, len(rounds), more)
+        sources, sinks, inner = (gone.filter(F.col("what") == x) for x in ("source", "sink", "inner"))
+        if sources.isEmpty():
+            break  # all that is left is on a cycle or behind one
+        ends = cut(left.join(gone.filter("what != 'source'").select(F.col("node").alias("v"), "what"), "v").select(
+            "u", F.col("v").alias("node"), "w", "what"))
+        onward = left.join(inner.select(F.col("node").alias("u"), "base"), "u").select(
+            F.col("u").alias("node"), "v", F.col("w").alias("on"), "base")
+        bridges = ends.filter("what = 'inner'").drop("what").join(onward, "node").select("u", "v", (F.col("w") + F.col("on")).alias("w"))
+        bridges = bridges.join(_of(sinks, "node", "v"), "v", "left_anti").select(*left.columns)
         first = sources.select(F.col("node").alias("u"), "base")
-        bridges = chains.select(F.col("before").alias("u"), F.col("after").alias("v"), (F.col("into") + F.col("out_of")).alias("w"))
-        bridges = bridges.join(_of(sinks, "node", "v"), "v", "left_anti")
         passed = [
-            left.unionByName(bridges.select(*left.columns)).join(first, "u").select(F.col("v").alias("node"), (F.col("base") + F.col("w")).alias("base")),
-            chains.filter("base > 0").select(F.col("after").alias("node"), (F.col("base") + F.col("out_of")).alias("base")),
+            left.unionByName(bridges).join(first, "u").select(F.col("v").alias("node"), (F.col("base") + F.col("w")).alias("base")),
+            onward.filter("base > 0").select(F.col("v").alias("node"), (F.col("base") + F.col("on")).alias("base")),
         ]
         kept = left.join(_of(gone, "node", "u"), "u", "left_anti").join(_of(gone, "node", "v"), "v", "left_anti")
-        kept = kept.unionByName(bridges.join(_of(sources, "node", "u"), "u", "left_anti"))
+        kept = kept.select(*left.columns).unionByName(bridges.join(_of(sources, "node", "u"), "u", "left_anti").select(*left.columns))
         base = cut(reduce(DataFrame.unionByName, [base, *passed]).groupBy("node").agg(F.max("base").alias("base")))
         left = cut(kept.groupBy("u", "v").agg(F.max("w").alias("w")))
         rounds.append((gone, ends))
-        count = left.count()
+        before, count = count, left.count()
+        if count > before:
+            more = 0
+        elif count > STALLED * before:
+            more = min(2 * more, MOST_EDGES) or 1
+        else:
+            more = MORE_EDGES
     if count > components.SMALL_GRAPH:
         core = _of(left, "u", "node").union(left.select("v")).distinct().select("node", F.lit(None).cast("long").alias("level"))
     else:
@@ -129,13 +145,10 @@ def longest_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if len(known) >= SIDE_BY_SIDE:
             known = [cut(reduce(DataFrame.unionByName, known))]
         known.append(gone.filter("what = 'source'").select("node", F.col("base").alias("level")))
-        every = reduce(DataFrame.unionByName, known)
-        chains = gone.filter("what = 'chain'").join(every.select(F.col("node").alias("before"), "level"), "before").select(
-            "node", F.when(F.col("level").isNotNull(), F.greatest("base", F.col("level") + F.col("into"))).alias("level"))
-        known.append(cut(chains))
-        every = every.unionByName(known[-1])
-        above = ends.join(every.select(F.col("node").alias("u"), "level"), "u").groupBy("node").agg(
-            F.max(F.col("level") + F.col("w")).alias("most"), F.bool_and(F.col("level").isNotNull()).alias("all"))
-        known.append(cut(gone.filter("what = 'sink'").join(above, "node").select(
-            "node", F.when(F.col("all"), F.greatest("base", "most")).alias("level"))))
+        for what in ("inner", "sink"):  # a sink may stand behind an inner node
+            every = reduce(DataFrame.unionByName, known)
+            above = ends.filter(F.col("what") == what).join(every.select(F.col("node").alias("u"), "level"), "u").groupBy("node").agg(
+                F.max(F.col("level") + F.col("w")).alias("most"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+            known.append(cut(gone.filter(F.col("what") == what).join(above, "node").select(
+                "node", F.when(F.col("all"), F.greatest("base", "most")).alias("level"))))
     return reduce(DataFrame.unionByName, known)
