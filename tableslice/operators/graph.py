@@ -118,17 +118,21 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "parents",
 
 
 def _doubling(jump: DataFrame, seen: DataFrame) -> DataFrame:
-    """``jump`` leads ``2 ** k`` steps on in round ``k``, and ``seen`` holds all nodes nearer than that."""
+    """``jump`` leads ``2 ** k`` steps on in round ``k``, and ``seen`` holds all nodes nearer than that.
+
+    Both sides of the joins are of the size of the graph, and there are many
+    rounds: a broadcast in each would bring the graph to the driver many times.
+    """
     length, before = 1, seen.count()
     while True:
-        on = seen.join(jump, "node").select(F.col("next").alias("node"), (F.col("distance") + length).alias("distance"))
+        on = seen.join(jump.hint("merge"), "node").select(F.col("next").alias("node"), (F.col("distance") + length).alias("distance"))
         seen = cut(seen.unionByName(on).groupBy("node").agg(F.min("distance").alias("distance")))
         now = seen.count()
         if now == before:
             return seen
         before, length = now, 2 * length
         ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("later"))
-        jump = cut(jump.join(ahead, "next").select("node", F.col("later").alias("next")))
+        jump = cut(jump.join(ahead.hint("merge"), "next").select("node", F.col("later").alias("next")))
 
 
 def relatives(edges: DataFrame, named: DataFrame, with_children: bool = False,

@@ -65,6 +65,17 @@ def test_a_deep_chain_with_skips_takes_few_rounds(spark, monkeypatch):
     assert got.filter("node = level").count() == 1001 == got.count()
 
 
+def test_doubling_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.cut(df)
+    monkeypatch.setattr(graph, "cut", seen)
+    edges = spark.range(1, 200).selectExpr("id AS child", "id - 1 AS parent")
+    assert graph.reachable(edges, spark.range(199, 200).withColumnRenamed("id", "node"), "parents").count() == 200
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("single", [True, False])
 def test_reachable_like_a_walk(spark, single):
     pick = random.Random(9)
