@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from .documents import type_name
+from .documents import once, type_name
 from .slicing import col
 
 _FOUND = "array<struct<path: string, rule: string, found: string>>"
@@ -32,7 +32,9 @@ def contract_violations(docs: DataFrame, contract: Mapping[str, Any], id_column:
     that is there, null for what is missing.  A null document has no violations.
     """
     found = _walk(col(doc), contract, F.lit("$"), 0)
-    return docs.select(id_column.alias("id"), F.explode(found).alias("v")).select("id", "v.path", "v.rule", "v.found")
+    # An inner explode is given a filter on what it explodes, which would be computed again for it.
+    rows = docs.select(id_column.alias("id"), F.explode_outer(found).alias("v")).filter("v IS NOT NULL")
+    return rows.select("id", "v.path", "v.rule", "v.found")
 
 
 def _none() -> Column:
@@ -56,10 +58,20 @@ def _inside(path: Column, name: str) -> Column:
 
 
 def _walk(value: Column, rule: Mapping[str, Any], path: Column, depth: int) -> Column:
-    """Violations of one value; empty where there is no value."""
+    """Violations of one value; empty where there is no value.
+
+    The value, its type and its path are bound before the rules name them: each
+    level would else repeat all above it, and the work grow by powers.
+    """
     if depth > DEPTH:
         raise SpecError(f"the contract nests deeper than {DEPTH} levels")
-    kind, parts = type_name(value), []
+    return once(value, lambda v: F.when(v.isNotNull(), once(type_name(v), lambda kind: once(
+        path, lambda at: _rules(v, kind, rule, at, depth)))).otherwise(_none()))
+
+
+def _rules(value: Column, kind: Column, rule: Mapping[str, Any], path: Column, depth: int) -> Column:
+    """Violations of a value that is there and has the type ``kind``."""
+    parts = []
     given = rule.get("bsonType")
     allowed = [given] if isinstance(given, str) else list(given or ())
     if "number" in allowed:
@@ -81,7 +93,7 @@ def _walk(value: Column, rule: Mapping[str, Any], path: Column, depth: int) -> C
             F.coalesce(elements, F.array().cast("array<variant>")),
             lambda x, i: _walk(x, rule["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1))
         parts.append(F.when(kind == "array", F.flatten(each)).otherwise(_none()))
-    return F.when(value.isNotNull(), F.concat(*parts) if parts else _none()).otherwise(_none())
+    return F.concat(*parts) if parts else _none()
 
 
 def _label(value: Any) -> str:

@@ -12,7 +12,7 @@ from ..operators.contracts import contract_violations
 from ..operators.diff import removed_keys, row_diff
 from ..operators.documents import filter_document
 from ..operators.merge import merge_documents, merge_upsert
-from ..session import ensure_checkpoint_dir, scratch
+from ..session import ensure_checkpoint_dir, scratch, spread
 from ..sources.files import read_csv, read_jsonl, read_per_row, write_csv, write_jsonl, write_per_row
 from ..spec import ColumnSpec, SliceSpec, TableSpec, UniqueKey, double_col, int_col, text_col
 from .load import cut_slice, export_slice, load_violations, verify_export
@@ -321,7 +321,7 @@ def _(t: Sample):
         F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.lit(',"brand":null')),
         F.lit('},"marks":[{"n":1'), F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.lit(',"at":2')),
         F.lit('},{"at":3,"n":'), F.when(F.col("p_size") % 3 == 0, F.lit('"x"')).otherwise(F.lit("4")), F.lit("}]}"))
-    docs = t.part.select("p_partkey", F.parse_json(text).alias("doc"))
+    docs = spread(t.part.select("p_partkey", "p_size", "p_type")).select("p_partkey", F.parse_json(text).alias("doc"))
     contract = {"bsonType": "object", "required": ["_id", "size", "info"], "properties": {
         "size": {"bsonType": "number"},
         "info": {"bsonType": "object", "required": ["brand", "kind"], "properties": {

@@ -61,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table, dealt to a few tasks per core if it is read by fewer.
+
+    A small file is one task, whatever is then done with its rows.
+    """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 _open: list[list[str]] = [[]]
 
 

@@ -52,3 +52,17 @@ def test_limits(spark):
         deep = {"properties": {"x": deep}}
     with pytest.raises(SpecError, match="nests deeper"):
         contract_violations(docs, deep, F.col("n"))
+
+
+def test_a_document_is_parsed_once(spark):
+    """Every level of rules used to repeat the expressions above it, down to the parsing of the text."""
+    rule = {"bsonType": "int"}
+    for _ in range(5):
+        rule = {"bsonType": "object", "required": ["x"], "properties": {"x": rule}}
+    text = '{"x":' * 5 + '"7"' + "}" * 5
+    docs = spark.range(3).selectExpr("id AS n", f"parse_json(concat('{text}', repeat(' ', int(id)))) AS doc")
+    found = contract_violations(docs, rule, F.col("n"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1 or plan.lower().count("parse_json") == 1
+    assert len(plan) < 200_000
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(n, "x.x.x.x.x", "bsonType", "string") for n in range(3)]
