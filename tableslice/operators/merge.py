@@ -63,30 +63,47 @@ def _nullable(spec: TableSpec, key: Sequence[str]) -> bool:
     return any(spec.require(k, "key").nullable for k in key)
 
 
+#: Rows of both sides that one task of an upsert's joins sorts, and of a seed that may be held whole.
+ROWS_TOGETHER = 1_000_000
+
+
 def _upsert_on(target: DataFrame, seed: DataFrame, spec: TableSpec, key: Sequence[str]) -> DataFrame:
     """Upsert on a key that holds no null and repeats on neither side.
 
     Updates come from one join of the target to the seed, new rows from an anti
-    join of the seed to the target's keys.  Spark picks the kind of either join
-    from the sizes it knows, so a small seed does not move a large target; rows
-    and types are the same whatever it picks.
+    join of the seed to the target's keys.  With a seed of up to
+    ``ROWS_TOGETHER`` rows Spark picks the kind of either join from the sizes it
+    knows, so a small seed does not move a large target; of the target's keys
+    only those the seed has go on.  Larger seeds are joined by key in parts of
+    about so many rows: the keys of a large target are small as a file, and
+    Spark would hold them all in every task.  Rows and types are the same.
     """
     typed = seed.select(*[
         col(n).cast(target.schema[n].dataType).alias(n) if n in target.columns else col(n) for n in seed.columns
     ])
+    rows = seed.count()
+    large = rows > ROWS_TOGETHER
+    if large:
+        parts = -(-(rows + target.count()) // ROWS_TOGETHER)
+        target, typed = (df.repartition(parts, *[col(k) for k in key]) for df in (target, typed))
     new = _align(typed, target, spec)
     seeded = [n for n in target.columns if n in seed.columns and n not in key]
     s = typed.select(
         *[col(k) for k in key], *[col(n).alias(f"__s_{n}") for n in seeded],
         F.lit(True).alias("__in_seed"),
     )
-    joined = target.join(s, list(key), "left_outer")
+    joined = target.join(s.hint("merge") if large else s, list(key), "left_outer")
     changed = joined.select(*[
         F.when(F.col("__in_seed"), col(f"__s_{n}")).otherwise(col(n)).alias(n) if n in seeded else col(n)
         for n in target.columns
     ], "__in_seed")
     merged = _computed(changed, spec, F.coalesce(F.col("__in_seed"), F.lit(False))).drop("__in_seed")
     known = target.select(*[col(k).alias(f"__{k}") for k in key])
+    if large:
+        known = known.hint("merge")
+    else:
+        asked = typed.select(*[col(k).alias(f"__s_{k}") for k in key])
+        known = known.join(asked, [col(f"__{k}") == col(f"__s_{k}") for k in key], "left_semi")
     fresh = new.join(known, [col(k) == col(f"__{k}") for k in key], "left_anti")
     return merged.unionByName(fresh)
 

@@ -310,3 +310,21 @@ def test_sources(spark, data):
         sources.check_writable("ro")
     with pytest.raises(SpecError, match="did you mean 'main'"):
         sources.read("orgs", "mains")
+
+
+def test_a_large_upsert_holds_no_side_whole(spark, monkeypatch):
+    """The target's keys, small as a file, used to be broadcast to every task."""
+    from tableslice.operators import merge
+    from tableslice.spec import TableSpec, int_col
+
+    spec = TableSpec("t", (int_col("k"), int_col("x"), int_col("y")), ("k",))
+    target = spark.range(300).selectExpr("id AS k", "id AS x", "id AS y")
+    seed = spark.range(200, 400).selectExpr("id AS k", "-id AS x")
+    want = {(k, -k if k >= 200 else k, k if k < 300 else None) for k in range(400)}
+    small = merge.merge_upsert(target, seed, spec)
+    monkeypatch.setattr(merge, "ROWS_TOGETHER", 100)
+    large = merge.merge_upsert(target, seed, spec)
+    assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want
+    assert small.count() == large.count() == 400
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "hashpartitioning(k" in plan
