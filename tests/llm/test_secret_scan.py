@@ -85,3 +85,31 @@ def test_the_whole_of_a_long_candidate_is_seen(spark, network):
     inside = [w[S.BEFORE:S.BEFORE + S.INSIDE] for w in seen]
     assert inside[0] == text[:48] and inside[-1] == text[-48:] and all(w in text for w in inside)
     assert 0.9 < network.recall <= 1
+
+
+def test_training_sees_every_window(spark, monkeypatch):
+    """All findings and candidates take part, in chunks whose dealing to tasks does not matter; none are drawn."""
+    monkeypatch.setattr(S, "TOGETHER_WINDOWS", 64)
+    monkeypatch.setattr(S, "PASSES", 4)
+    seen = []
+    real = S._sums
+    def counted(rows, make):
+        seen.append(sum(len(r.w) for r in rows.collect()))
+        return real(rows.repartition(1 + len(seen) % 3), make)
+    monkeypatch.setattr(S, "_sums", counted)
+    rows = [(i, f"token = k{hashlib.md5(str(i).encode()).hexdigest()} then mail{i:04d}.example.com") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = S.train(docs, 20), S.train(docs.repartition(5), 20)
+    assert len(set(seen)) == 1 and 0.7 * 1220 < seen[0] < 1220  # 600 findings, about half of them twice, 300 others, 20 invented; a fifth held
+    assert all(np.array_equal(getattr(first, k), getattr(again, k)) for k in S._WEIGHTS)
+    assert (first.threshold, first.recall) == (again.threshold, again.recall) and 0.9 <= first.threshold < 1
+
+
+def test_threshold_is_that_of_all_held_findings(spark):
+    rng = np.random.default_rng(2)
+    z = np.concatenate((rng.normal(3, 1, 4000), rng.normal(-3, 1, 3000)))
+    y = np.repeat([1, 0], [4000, 3000])
+    scored = spark.createDataFrame(list(zip(z.tolist(), y.tolist())), "z double, y int")
+    net = S._calibrated(S._begin(5), scored, 0.98, 0.1)
+    chances = 1 / (1 + np.exp(-(net.slope * z[:4000] + net.offset)))
+    assert abs(net.threshold - np.sort(chances)[79]) < 1e-6 and 0.98 <= net.recall < 0.981
