@@ -5,22 +5,29 @@ with the smallest hash, the leftmost of equals.  Equal strings have equal
 anchors at equal places, so only strings with the same anchor are ever compared.
 The strings of a text that share one anchor form a span, a run of some 70 bytes.
 
+Every string has a route too: the places an anchor can have in a string are cut into
+``ROUTES`` ranges, and strings of one range have the bytes around the anchor in
+common that all of them hold, its context.
+
 Documents are dealt into groups by id.  The steps, all in one Spark job:
 
 1. Each group hashes its spans and sends, per distinct anchor and span, the two
-   hashes, short ones of the bytes left and right of the anchor, and the smallest
-   document to the bucket of the anchor.
+   hashes, short ones of the contexts, and the smallest document to the bucket of
+   the anchor.
 2. A bucket says of each whether a smaller document has the same span (all its
-   strings go), or whether another document has the anchor with the same bytes on
-   one side, as it must to share a string; most have neither.
-3. Each group sends the bytes of the latter to the bucket again.
-4. There their strings, suffixes cut at ``length``, are sorted by merging;
-   equal neighbours are verified byte by byte, and each string learns whether a
-   smaller document holds it.
-5. Each group marks what is removed.
+   strings go), or on which routes another document has the anchor in the same
+   context, as it must to share a string; most have neither.
+3. Each group sends the bytes of those routes to the bucket of anchor and context.
+   Where more than ``HOT`` spans have one context, each of their strings goes to
+   the bucket of its own hash instead, once per group.
+4. There the strings, suffixes cut at ``length``, are sorted by merging; equal
+   neighbours are verified byte by byte, and each string learns whether a smaller
+   document holds it.
+5. Each group cuts out what is removed; it needs no hashes for that.
 
 A span that a third of all documents hold comes once per group to a bucket, not
-once per document.  No string leaves its group in steps 1, 2 and 5.
+once per document, and so does a string of a hot context.  No string leaves its
+group in steps 1, 2 and 5.
 """
 
 from __future__ import annotations
@@ -34,14 +41,18 @@ from .shared import groups_of
 
 PIECE = 16
 #: Bytes of text per group, and of text whose spans meet in a bucket.
-GROUP_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-#: Bytes hashed at once in a task.
-BLOCK = 1 << 18
+GROUP_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+#: Bytes hashed at once in a task, and strings sorted at once.
+BLOCK, CHUNK = 1 << 17, 1 << 18
+#: Ranges of an anchor's places in a string; more than so many spans of one context are dealt out string by string.
+ROUTES, HOT = 4, 1 << 12
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_NOTHING, _WHOLE, _EDGE = 0, 1, 2
+#: A mark has a bit for each route, and another for each hot one; hot without the route stands for whole spans.
+_NOTHING, _WHOLE = 0, 0xF0
+_ENDS, _STRINGS = 0, 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,20 +64,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _LETTER = _mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
 
 
+_powers = [np.ones(1, np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse; kept for the next call."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.full(n, x, np.uint64)
+            _powers[i][0] = 1
+            np.cumprod(_powers[i], out=_powers[i])
+    return _powers[0][:n], _powers[1][:n]
+
+
 class Prefixes:
     """Polynomial hashes of all prefixes, modulo 2^64; equal substrings have equal hashes."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        powers = np.full(n, _BASE, np.uint64)
-        back = np.full(n + 1, _INVERSE, np.uint64)
-        if n:
-            powers[0] = 1
-        back[0] = 1
-        np.cumprod(powers, out=powers)
-        self.back = np.cumprod(back)
+        up, self.back = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[data] * powers, out=self.sums[1:])
+        np.cumsum(_LETTER[data] * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -89,61 +107,69 @@ class Prefixes:
         return out
 
 
+def cuts(length: int) -> list[int]:
+    """Where the routes' ranges of places begin and end; a route may have none."""
+    pieces = length - PIECE + 1
+    return [r * pieces // ROUTES for r in range(ROUTES + 1)]
+
+
 def spans(data: np.ndarray, borders: np.ndarray, length: int):
     """``anchor, span, sides, offset, first, last`` of every span.
 
-    Those are hashes of the anchor, of the span and (12 bits each, 0 where the
-    text ends before) of the bytes on either side of the anchor, half as many as
-    a string has beside it; the anchor's place in the span; the first and last
-    string.  ``borders`` are the texts' starts and the end of all; strings lie in
-    one text.
+    Those are hashes of the anchor, of the span and (12 bits per route, 0 where the
+    span has no string of that route) of the anchor's context; the anchor's place
+    in the span; the first and last string.  ``borders`` are the texts' starts and
+    the end of all; strings lie in one text.
     """
-    found, pieces = [], length - PIECE + 1
-    half = (length - PIECE + 1) // 2
+    found, pieces, edges = [], length - PIECE + 1, cuts(length)
+    place = np.arange(BLOCK + length, dtype=np.uint64)
     for begin in range(0, len(data), BLOCK):
         # Strings that start in this block; their bytes reach into the next.
-        stop = min(begin + BLOCK, len(data))
-        margin = min(begin, half)
-        wide = data[begin - margin: stop + length + half]
-        part = wide[margin:]
-        if len(part) < length:
+        part = data[begin: begin + BLOCK + length - 1]
+        n = len(part) - length + 1
+        if n < 1:
             break
-        x = part.astype(np.uint64)
-        for k in (1, 2, 4):
-            x = x[:-k] | x[k:] << np.uint64(8 * k)
-        h = _mix(x[:-8] * _MUL ^ (x[8:] + np.uint64(0x632BE59BD9B4E019)))
-        low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        x = np.empty(len(part) - 7, np.uint64)
+        for k in range(8):
+            x[k::8] = part[k: k + (len(part) - k) // 8 * 8].view("<u8")
+        low = x[:-8] * _MUL
+        low += x[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        low ^= low >> np.uint64(32)
+        low *= np.uint64(0x94D049BB133111EB)
+        low &= np.uint64(0xFFFFFFFF00000000)
+        low |= place[: len(low)]
         span = 1
         while 2 * span <= pieces:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         if span < pieces:
             low = np.minimum(low[: len(low) - (pieces - span)], low[pieces - span:])
-        places = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ok = np.zeros(len(places) + 1, np.int32)
-        a = np.clip(borders[:-1] - begin, 0, len(places))
-        b = np.clip(borders[1:] - begin - length + 1, 0, len(places))
-        real = b > a
-        np.add.at(ok, a[real], 1)
-        np.add.at(ok, b[real], -1)
-        starts = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
-        starts = starts[starts < stop - begin]
-        if not len(starts):
+        # The texts' parts in this block, as ranges of their strings.
+        texts = slice(np.searchsorted(borders, begin, "right") - 1, np.searchsorted(borders, begin + n))
+        a = np.maximum(borders[:-1][texts] - begin, 0)
+        b = np.minimum(borders[1:][texts] - begin - length + 1, n)
+        a, b = a[b > a], b[b > a]
+        if not len(a):
             continue
-        at = places[starts]
-        new = np.append(True, at[1:] != at[:-1])
-        first, last = starts[new], starts[np.append(new[1:], True)]
-        at = at[new]
-        prefix = Prefixes(wide)
-        row = np.searchsorted(borders, first + begin, "right") - 1
-        sides = np.zeros(len(at), np.uint64)
-        for shift, low, ok in (
-            (0, at - half, at + begin - half >= borders[row]), (12, at + PIECE, at + begin + PIECE + half <= borders[row + 1])
-        ):
-            low = low[ok] + margin
-            sides[ok] |= (_mix(prefix.of(low, low + half)) % np.uint64(4095) + np.uint64(1)) << np.uint64(shift)
-        span = prefix.of(first + margin, last + length + margin)
-        found.append((h[at], span, sides, at + begin, first + begin, last + begin))
+        new = np.append(True, low[1:n] != low[: n - 1])
+        new[a] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], n) - 1
+        text = np.searchsorted(a, first, "right") - 1
+        real = (text >= 0) & (first < b[text])
+        first, last = first[real], np.minimum(last[real], b[text[real]] - 1)
+        at = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        prefix = Prefixes(part)
+        sides, most, least = np.zeros(len(at), np.uint64), at - first, at - last
+        for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                some = np.flatnonzero((most >= a) & (least < b))
+                here = at[some]
+                context = (_mix(prefix.of(here - a, here + (PIECE + pieces - b))) >> np.uint64(32)) % np.uint64(4095)
+                sides[some] |= context + np.uint64(1) << np.uint64(12 * r)
+        span = prefix.of(first, last + length)
+        h = _mix(x[at] * _MUL ^ (x[at + 8] + np.uint64(0x632BE59BD9B4E019)))
+        found.append((h, span, sides, at + begin, first + begin, last + begin))
     if not found:
         none = np.zeros(0, np.int64)
         return *[none.astype(np.uint64)] * 3, none, none, none
@@ -153,36 +179,54 @@ def spans(data: np.ndarray, borders: np.ndarray, length: int):
     return _mix(anchor), span, sides, at - first, first, last
 
 
+def _tied(x: np.ndarray) -> np.ndarray:
+    """Which of sorted values equal a neighbour."""
+    same, out = x[1:] == x[:-1], np.zeros(len(x), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def in_order(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    """Rows by id, then text (steps 3 and 5 must see one order); the texts; their starts and the end of all."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = [t or b"" for t in table.column("text").to_pylist()]
+    return table, texts, np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+
+
 class Group:
     """The texts of one group and the distinct spans among them."""
 
     def __init__(self, table, length: int):
-        table = table.sort_by("doc_id")
-        self.rows = table
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.binary())
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        self.texts = [t.as_py() or b"" for t in texts]
-        self.ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-        known = np.array([v is not None for v in table.column("doc_id").to_pylist()], bool)
-        self.ids = np.where(known, np.nan_to_num(self.ids), 0).astype(np.int64) if not known.all() else self.ids.astype(np.int64)
+        table, texts, self.borders = in_order(table)
+        known = table.column("doc_id").is_valid().to_numpy()
+        self.ids = table.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
         self.length = length
-        self.borders = np.append(0, np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts))))
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
         anchor, span, sides, self.offset, self.first, self.last = spans(self.data, self.borders, length)
-        self.row = np.searchsorted(self.borders, self.first, "right") - 1
-        keep = known[self.row] if len(self.row) else np.zeros(0, bool)
-        if not keep.all():
+        self.row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.first, self.borders)))
+        if not known.all():
+            keep = known[self.row]
             anchor, span, sides = anchor[keep], span[keep], sides[keep]
             self.offset, self.first, self.last, self.row = (
                 x[keep] for x in (self.offset, self.first, self.last, self.row))
-        # Rows are sorted by id, so the first occurrence of a span is in its smallest document.
-        order = np.lexsort((span, anchor))
-        new = np.ones(len(order), bool)
-        if len(order):
-            a, s = anchor[order], span[order]
-            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        self.entry = np.zeros(len(order), np.int64)
+        # Most anchors are alone; only the others are sorted by more.  Rows are sorted
+        # by id, so the first occurrence of a span is in its smallest document.
+        order = np.argsort(anchor)
+        ties = np.flatnonzero(_tied(anchor[order]))
+        some = order[ties]
+        order[ties] = some[np.lexsort((some, span[some], anchor[some]))]
+        new = _heads(anchor[order], span[order])
+        self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.head = order[new]
         self.anchor, self.span, self.sides = anchor[self.head], span[self.head], sides[self.head]
@@ -190,8 +234,12 @@ class Group:
 
     def buckets(self, n: int):
         """Entries are sorted by anchor; where each bucket, an equal share of all anchors, begins."""
-        edges = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
-        return np.concatenate(([0], np.searchsorted(self.anchor, edges), [len(self.anchor)])).astype(np.int64)
+        return _shares(self.anchor, n)
+
+
+def _shares(keys: np.ndarray, n: int) -> np.ndarray:
+    edges = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -205,76 +253,157 @@ def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
-_SENT = "bucket int, p int, n int, hashes binary, docs binary"
+_SENT = "bucket int, p int, n int, width int, least long, data binary"
 _MARKS = "p int, bucket int, n int, marks binary"
-_BYTES = "bucket int, p int, kind int, n int, a binary, b binary, c binary"
-_TOLD = "p int, bucket int, kind int, n int, a binary, b binary"
+_BYTES = "bucket int, p int, kind int, n int, a binary, b binary"
+_TOLD = "p int, kind int, n int, a binary, b binary"
 
 
 def _send(group: Group, p: int, n_buckets: int) -> list[tuple]:
     at, out = group.buckets(n_buckets), []
+    sides = group.sides << np.uint64(16)
     for b in np.flatnonzero(np.diff(at)):
         s = slice(at[b], at[b + 1])
-        distinct, which = np.unique(group.doc[s], return_inverse=True)
-        kind = "<u2" if len(distinct) <= 1 << 16 else "<u4"
-        hashes = _planes(group.anchor[s], 7) + _planes(group.span[s], 6) + _planes(group.sides[s] << np.uint64(40), 3)
-        docs = distinct.astype("<i8").tobytes() + which.astype(kind).tobytes()
-        out.append((int(b), p, int(at[b + 1] - at[b]), hashes, len(distinct).to_bytes(4, "little") + docs))
+        least = int(group.doc[s].min())
+        docs = (group.doc[s] - least).view(np.uint64)
+        width = max(1, -(-int(docs.max()).bit_length() // 8))
+        data = (_planes(group.anchor[s], 7) + _planes(group.span[s], 6) + _planes(sides[s], 6)
+                + _planes(docs << np.uint64(64 - 8 * width), width))
+        out.append((int(b), p, int(at[b + 1] - at[b]), width, least, data))
     return out
 
 
-def _judge(table) -> list[tuple]:
+def _judge(table, hot: int = HOT) -> list[bytes]:
     """Marks of all entries of a bucket, in the order each group sent them."""
     anchors, found, beside, docs, sizes = [], [], [], [], table.column("n").to_pylist()
-    for n, hashes, blob in zip(sizes, table.column("hashes").to_pylist(), table.column("docs").to_pylist()):
-        anchors.append(_unplanes(hashes[: 7 * n], n, 7))
-        found.append(_unplanes(hashes[7 * n: 13 * n], n, 6))
-        beside.append(_unplanes(hashes[13 * n:], n, 3) >> np.uint64(40))
-        k = int.from_bytes(blob[:4], "little")
-        distinct = np.frombuffer(blob, "<i8", k, 4)
-        docs.append(distinct[np.frombuffer(blob, "<u2" if k <= 1 << 16 else "<u4", n, 4 + 8 * k)])
+    for n, width, least, data in zip(*(table.column(c).to_pylist() for c in ("n", "width", "least", "data"))):
+        anchors.append(_unplanes(data[: 7 * n], n, 7))
+        found.append(_unplanes(data[7 * n: 13 * n], n, 6))
+        beside.append(_unplanes(data[13 * n: 19 * n], n, 6) >> np.uint64(16))
+        docs.append((_unplanes(data[19 * n:], n, width) >> np.uint64(64 - 8 * width)).view(np.int64) + least)
     anchor, span, sides, doc = (np.concatenate(c) for c in (anchors, found, beside, docs))
-    order = np.lexsort((doc, span, anchor))
-    a, s, d = anchor[order], span[order], doc[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    heads = np.flatnonzero(new)
-    # Spans of one anchor in different documents that agree on a side of it may share strings.
-    edge = np.zeros(len(heads), bool)
-    ha, hd, hs = a[heads], d[heads], sides[order][heads]
-    lonely = np.ones(len(heads), bool)
-    lonely[1:] &= ha[1:] != ha[:-1]
-    lonely[:-1] &= ha[1:] != ha[:-1]
-    some = np.flatnonzero(~lonely)
-    for side in (hs & np.uint64(4095), hs >> np.uint64(12)):
-        here = some[side[some] != 0]
-        by = here[np.lexsort((side[here], ha[here]))]
+    order = np.argsort(anchor)
+    some = order[_tied(anchor[order])]
+    some = some[np.lexsort((doc[some], span[some], anchor[some]))]
+    heads = _heads(anchor[some], span[some])
+    back = np.full(len(anchor), _NOTHING, np.uint8)
+    back[some[~heads]] = _WHOLE
+    # Spans of one anchor in different documents that agree on a context may share strings.
+    some = some[heads]
+    a, d = anchor[some], doc[some]
+    for r in range(ROUTES):
+        side = sides[some] >> np.uint64(12 * r) & np.uint64(4095)
+        by = np.flatnonzero(side)
+        by = by[np.lexsort((side[by], a[by]))]
         if not len(by):
             continue
-        starts = np.flatnonzero(np.append(True, (ha[by][1:] != ha[by][:-1]) | (side[by][1:] != side[by][:-1])))
-        low, high = np.minimum.reduceat(hd[by], starts), np.maximum.reduceat(hd[by], starts)
-        edge[by] |= np.repeat(low < high, np.diff(np.append(starts, len(by))))
-    mark = np.full(len(a), _WHOLE, np.uint8)
-    mark[heads] = np.where(edge, _EDGE, _NOTHING)
-    back = np.empty(len(a), np.uint8)
-    back[order] = mark
+        starts = np.flatnonzero(_heads(a[by], side[by]))
+        size = np.diff(np.append(starts, len(by)))
+        shared = np.minimum.reduceat(d[by], starts) < np.maximum.reduceat(d[by], starts)
+        mark = np.where(shared, np.where(size > hot, 17 << r, 1 << r), 0).astype(np.uint8)
+        back[some[by]] |= np.repeat(mark, size)
     ends = np.cumsum(sizes)
     return [back[e - n: e].tobytes() for e, n in zip(ends, sizes)]
 
 
-def _edges_of(group: Group, marks: dict[int, bytes], p: int, n_buckets: int) -> list[tuple]:
-    """Bytes of the spans marked as edges, by bucket."""
-    at, out = group.buckets(n_buckets), []
-    for b, mark in marks.items():
-        entries = np.flatnonzero(np.frombuffer(mark, np.uint8) == _EDGE) + at[b]
-        if not len(entries):
-            continue
-        head = group.head[entries]
-        first, last, offset = group.first[head], group.last[head], group.offset[head]
-        numbers = np.stack((
-            group.anchor[entries].view(np.int64), group.doc[entries], entries - at[b], offset, last - first + 1))
-        parts = [group.data[f: l + group.length].tobytes() for f, l in zip(first.tolist(), last.tolist())]
-        out.append((b, p, _EDGE, len(entries), numbers.astype("<i8").tobytes(), b"".join(parts), b""))
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...``, as many as ``count``, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _runs(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs in a mask."""
+    step = np.flatnonzero(np.concatenate((gone[:1], gone[1:] != gone[:-1], gone[-1:])))
+    return step[::2], step[1::2] - 1
+
+
+def _filled(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The mask of runs that do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    step[first] += 1
+    step[last + 1] -= 1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
+
+
+def _edges_of(group: Group, mark: np.ndarray, p: int, n_buckets: int) -> list[tuple]:
+    """What of a group goes to be sorted, by bucket, and what it knows of its removed strings itself."""
+    length, limits = group.length, cuts(group.length)
+    place = group.offset[group.head]
+    least = place - (group.last - group.first)[group.head]
+    routes = []
+    singles = [(np.zeros(0, np.int64),) * 3]
+    for r in range(ROUTES):
+        entries = np.flatnonzero((mark != _WHOLE) & (mark & np.uint8(1 << r) != 0))
+        high = np.minimum(place[entries], limits[r + 1] - 1)
+        count = high - np.maximum(least[entries], limits[r]) + 1
+        start = group.first[group.head[entries]] + place[entries] - high
+        hot = mark[entries] & np.uint8(16 << r) != 0
+        e, s, c = entries[hot], start[hot], count[hot]
+        singles.append((np.repeat(e, c), _ranges(s, c), np.repeat(high[hot], c) - _ranges(np.zeros_like(c), c)))
+        e = entries[~hot]
+        side = group.sides[e] >> np.uint64(12 * r) & np.uint64(4095)
+        key = _mix(group.anchor[e] ^ _mix(side + np.uint64(r << 12)))
+        routes.append((key, group.doc[e], start[~hot], high[~hot], count[~hot]))
+
+    # Strings of hot contexts: one per group and hash, the first of its smallest document.
+    entry, start, high = (np.concatenate(c) for c in zip(*singles))
+    known, twin, like = [np.zeros(0, np.int64)] * 3
+    if len(entry):
+        view = np.lib.stride_tricks.sliding_window_view(group.data, length)
+        key = _mix(group.anchor[entry] ^ _mix(_string_hashes(view, start) + high.astype(np.uint64)))
+        doc = group.doc[entry]
+        order = np.lexsort((start, doc, key))
+        head = _heads(key[order])
+        one = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        other = ~head
+        # Equal hashes of different bytes: those go to be sorted as well.
+        for c in np.array_split(np.flatnonzero(other), len(order) // CHUNK + 1):
+            other[c] = (view[start[order[c]]] == view[start[one[c]]]).all(axis=1)
+        later = doc[order] > doc[one]
+        known = start[order[other & later]]
+        like, twin = start[one[other & ~later]], start[order[other & ~later]]
+        sent = order[~other]
+        routes.append((key[sent], doc[sent], start[sent], high[sent], np.ones(len(sent), np.int64)))
+
+    later = group.ids[group.row] > group.doc[group.entry] if len(group.row) else np.zeros(0, bool)
+    whole = later | (mark[group.entry] == _WHOLE)
+    gone = _filled(len(group.data), group.first[whole], group.last[whole])
+    # Spans that a document repeats lose the strings their first occurrence loses.
+    again = ~whole & (mark[group.entry] != _NOTHING)
+    again[group.head] = False
+    again = np.flatnonzero(again)
+    first, place = group.first[group.head[group.entry[again]]], group.first[again]
+    count = (group.last - group.first + 1)[again]
+    before = np.cumsum(count) - count
+    runs = np.flatnonzero(_heads(first - before, place - before))
+    count = np.add.reduceat(count, runs) if len(runs) else count
+    gone[known] = True
+    ends = np.stack(_runs(gone)).astype("<u4")
+    alike = np.stack([np.concatenate(c) for c in (
+        (like, first[runs]), (twin, place[runs]), (np.ones_like(twin), count))]).astype("<u4")
+    out = [(p % n_buckets, p, _ENDS, len(twin), ends.tobytes(), alike.tobytes())]
+
+    key, doc, start, high, count = (np.concatenate(c) for c in zip(*routes))
+    order = np.argsort(key)
+    key, doc, start, high, count = (x[order] for x in (key, doc, start, high, count))
+    at = _shares(key, n_buckets)
+    for b in np.flatnonzero(np.diff(at)):
+        s = slice(at[b], at[b + 1])
+        numbers = b"".join(x[s].astype(t).tobytes() for x, t in zip((key, doc, start, high, count), _NUMBERS))
+        text = group.data[_ranges(start[s], count[s] + length - 1)]
+        out.append((int(b), p, _STRINGS, int(at[b + 1] - at[b]), numbers, text.tobytes()))
+    return out
+
+
+#: Of what is sent to be sorted: key, document, first string, the anchor's place in it, number of strings.
+_NUMBERS = ("<u8", "<i8", "<u4", "u1", "u1")
+
+
+def _string_hashes(view: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.empty(len(start), np.uint64)
+    up = powers(view.shape[1])[0]
+    for at in range(0, len(start), 1 << 14):
+        out[at: at + (1 << 14)] = (_LETTER[view[start[at: at + (1 << 14)]]] * up).sum(axis=1, dtype=np.uint64)
     return out
 
 
@@ -325,28 +454,31 @@ def merge_sorted(text: np.ndarray, prefix: Prefixes, suffix: np.ndarray, kind: n
     return order
 
 
-def _sort_edges(table, length: int) -> list[tuple[int, int, bytes, bytes]]:
-    """For each group: entries and bit masks of their strings that a smaller document holds."""
-    sizes = table.column("n").to_pylist()
-    numbers = np.concatenate(
-        [np.frombuffer(a, "<i8").reshape(5, n) for n, a in zip(sizes, table.column("a").to_pylist())], axis=1)
-    anchor, doc, entry, offset, count = numbers
-    text = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8)
+def _held(key, doc, high, count, text, length: int) -> np.ndarray:
+    """Which strings a smaller document holds, among entries sorted by key, whose bytes stand in ``text``."""
     span_start = np.append(0, np.cumsum(count + length - 1))[:-1]
     owner = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    step = _ranges(np.zeros_like(count), count)
     suffix = span_start[owner] + step
-    # Equal strings have their equal anchors at equal distances.
-    order = np.lexsort((offset[owner] - step, anchor[owner]))
-    a, o = anchor[owner][order], (offset[owner] - step)[order]
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (o[1:] != o[:-1]))[: len(order)])
+    # Equal strings have their equal anchors at equal places.
+    heads = _heads(key)
+    number, least = np.cumsum(heads) - 1, np.minimum.reduceat(high - count + 1, np.flatnonzero(heads))
+    place = high - least[number]
+    kind = (number * (int(place.max()) + 1) + place)[owner] - step
+    doc = doc[owner]
+    alone = np.bincount(kind, minlength=1)[kind] == 1
+    held, some = np.zeros(len(kind), bool), np.flatnonzero(~alone)
+    if not len(some):
+        return held
+    suffix, kind, doc = suffix[some], kind[some], doc[some]
     prefix = Prefixes(text)
     order = merge_sorted(text, prefix, suffix, kind, length)
     left, right = order[:-1], order[1:]
     same = kind[left] == kind[right]
-    same[same] = prefix.common(suffix[left[same]], suffix[right[same]], length) >= length
-    view = np.lib.stride_tricks.sliding_window_view(text, length) if len(text) >= length else None
+    near = np.flatnonzero(same)
+    a, b = suffix[left[near]], suffix[right[near]]
+    same[near] = prefix.of(a, a + length) == prefix.of(b, b + length)
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
     claimed = np.flatnonzero(same)
     true = np.ones(len(claimed), bool)
     for at in range(0, len(claimed), 1 << 16):
@@ -356,49 +488,68 @@ def _sort_edges(table, length: int) -> list[tuple[int, int, bytes, bytes]]:
         keys = [view[suffix[i]].tobytes() for i in range(len(suffix))]
         order = np.array(sorted(range(len(suffix)), key=lambda i: (kind[i], keys[i])), np.int64)
         same = np.array([kind[i] == kind[j] and keys[i] == keys[j] for i, j in zip(order[:-1], order[1:])], bool)
-    string = np.cumsum(np.append(False, ~same)[: len(order)]) if len(order) else np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.append(True, ~same)[: len(order)])
-    least = np.minimum.reduceat(doc[owner[order]], starts)
-    held = np.zeros(len(order), bool)
-    held[order] = least[string] < doc[owner[order]]
-    masks = np.zeros((len(count), 64), bool)
-    masks[owner, step] = held
-    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8").reshape(-1)
-    out, ends = [], np.cumsum(sizes)
-    for n, e in zip(sizes, ends):
-        some = np.flatnonzero(masks[e - n: e]) + e - n
-        out.append((len(some), entry[some].astype("<i8").tobytes(), masks[some].tobytes()))
+    new = np.append(True, ~same)
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+    held[some[order]] = least[np.cumsum(new) - 1] < doc[order]
+    return held
+
+
+def _sort_edges(table, length: int, chunk: int = CHUNK) -> list[tuple[bytes, bytes]]:
+    """For each group: first and last places of the runs of its strings that a smaller document holds."""
+    sizes = table.column("n").to_pylist()
+    parts, widths = [], [np.dtype(t).itemsize for t in _NUMBERS]
+    for n, blob in zip(sizes, table.column("a").to_pylist()):
+        at = np.append(0, np.cumsum(widths)) * n
+        parts.append([np.frombuffer(blob, t, n, a) for t, a in zip(_NUMBERS, at.tolist())])
+    key, doc, start, high, count = (np.concatenate(c) for c in zip(*parts))
+    high, count, start = high.astype(np.int64), count.astype(np.int64), start.astype(np.int64)
+    text = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8)
+    begin = np.append(0, np.cumsum(count + length - 1))[:-1]
+    order = np.argsort(key)
+    # Keys are sorted some at a time, so that their bytes stay in reach; a key's entries stay together.
+    heads = np.append(np.flatnonzero(_heads(key[order])), len(key))
+    before = np.append(0, np.cumsum(count[order]))[heads]
+    ends = heads[np.flatnonzero(np.diff(before // chunk, append=-1))]
+    origin = np.append(0, np.cumsum(count))
+    held = np.zeros(origin[-1], bool)
+    for a, b in zip(np.append(0, ends[:-1]), ends):
+        o = order[a:b]
+        if len(o):
+            part = text[_ranges(begin[o], count[o] + length - 1)]
+            held[_ranges(origin[o], count[o])] = _held(key[o], doc[o], high[o], count[o], part, length)
+    out, place, e = [], _ranges(start, count), 0
+    for n in sizes:
+        mine = slice(origin[e], origin[e + n])
+        gone = np.sort(place[mine][held[mine]])
+        new = np.append(True, np.diff(gone) > 1)[: len(gone)]
+        out.append((gone[new].astype("<u4").tobytes(), gone[np.append(new[1:], True)[: len(gone)]].astype("<u4").tobytes()))
+        e += n
     return out
 
 
-def _removed(group: Group, marks: dict[int, bytes], masks: dict[int, tuple[np.ndarray, np.ndarray]], n_buckets: int):
+def _removed(borders: np.ndarray, told: list[dict], length: int):
     """``row, start, end`` of the maximal removed runs, places in the row's text."""
-    at = group.buckets(n_buckets)
-    mark = np.zeros(len(group.anchor), np.uint8)
-    mask = np.zeros(len(group.anchor), np.uint64)
-    for b, data in marks.items():
-        mark[at[b]: at[b + 1]] = np.frombuffer(data, np.uint8)
-    for b, (entries, bits) in masks.items():
-        mask[at[b] + entries] = bits
-    later = group.ids[group.row] > group.doc[group.entry] if len(group.row) else np.zeros(0, bool)
-    whole = later | (mark[group.entry] == _WHOLE)
-    some = np.flatnonzero(~whole & (mask[group.entry] != 0))
-    bits = np.unpackbits(mask[group.entry[some]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    which, step = np.nonzero(bits)
-    single = group.first[some[which]] + step
-    start = np.concatenate((group.first[whole], single))
-    end = np.concatenate((group.last[whole] + group.length, single + group.length))
-    row = np.concatenate((group.row[whole], group.row[some[which]]))
-    order = np.argsort(start, kind="stable")
-    start, end, row = start[order], end[order], row[order]
-    if not len(start):
-        return row, start, end
-    reach = np.maximum.accumulate(end)
-    new = np.append(True, (start[1:] > reach[:-1]) | (row[1:] != row[:-1]))
+    runs = [(np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")) for r in told if r["kind"] == _STRINGS]
+    alike = []
+    for r in told:
+        if r["kind"] == _ENDS:
+            runs.append(tuple(np.frombuffer(r["a"], "<u4").reshape(2, -1)))
+            pairs = np.frombuffer(r["b"], "<u4").reshape(3, -1).astype(np.int64)
+            # What the first part sets, the second may copy on.
+            for part in (pairs[:, : r["n"]], pairs[:, r["n"]:]):
+                alike += np.array_split(part, part[2].sum() // CHUNK + 1, axis=1)
+    first, last = (np.concatenate(c).astype(np.int64) for c in zip(*runs)) if runs else [np.zeros(0, np.int64)] * 2
+    gone = _filled(int(borders[-1]), first, last)
+    for like, twin, count in alike:
+        gone[_ranges(twin, count)] = gone[_ranges(like, count)]
+    start, end = _runs(gone)
+    end = end + length
+    row = np.searchsorted(borders, start, "right") - 1
+    new = np.append(True, (start[1:] > end[:-1]) | (row[1:] != row[:-1]))[: len(start)]
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:] - 1, len(start) - 1)
-    base = group.borders[row[heads]]
-    return row[heads], start[heads] - base, reach[tails] - base
+    tails = np.append(heads[1:] - 1, len(start) - 1)[: len(heads)]
+    base = borders[row[heads]]
+    return row[heads], start[heads] - base, end[tails] - base
 
 
 def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -423,48 +574,38 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
         F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.length("text"))), F.lit(n_groups)).cast("int").alias("p"),
         "doc_id", "text")
 
+    hot = HOT
+
     def send(key, table):
         return _rows(_send(Group(table, length), key[0].as_py(), n_buckets), _SENT)
 
     def judge(key, table):
-        marks = _judge(table)
         b = key[0].as_py()
-        return _rows(list(zip(table.column("p").to_pylist(), [b] * len(marks), table.column("n").to_pylist(), marks)), _MARKS)
+        marks = zip(table.column("p").to_pylist(), table.column("n").to_pylist(), _judge(table, hot))
+        return _rows([(p, b, n, m) for p, n, m in marks], _MARKS)
 
     def edges(key, texts, told):
-        p = key[0].as_py()
-        marks = dict(zip(told.column("bucket").to_pylist(), told.column("marks").to_pylist()))
-        out = _edges_of(Group(texts, length), marks, p, n_buckets) if any(_EDGE in m for m in marks.values()) else []
-        # The marks travel on beside the edges; they are spread over the buckets.
-        out += [((b + p) % n_buckets, p, _WHOLE, b, m, b"", b"") for b, m in marks.items()]
-        return _rows(out, _BYTES)
+        marks = b"".join(told.sort_by("bucket").column("marks").to_pylist())
+        return _rows(_edges_of(Group(texts, length), np.frombuffer(marks, np.uint8), key[0].as_py(), n_buckets), _BYTES)
 
     def sort(key, table):
-        b, out = key[0].as_py(), []
         kinds = np.array(table.column("kind").to_pylist())
-        sent = table.filter(pa.array(kinds == _EDGE))
+        out = [(r["p"], _ENDS, r["n"], r["a"], r["b"]) for r in table.filter(pa.array(kinds == _ENDS)).to_pylist()]
+        sent = table.filter(pa.array(kinds == _STRINGS))
         if sent.num_rows:
-            for p, (n, entries, masks) in zip(sent.column("p").to_pylist(), _sort_edges(sent, length)):
-                if n:
-                    out.append((p, b, _EDGE, n, entries, masks))
-        for r in table.filter(pa.array(kinds == _WHOLE)).to_pylist():
-            out.append((r["p"], r["n"], _WHOLE, len(r["a"]), r["a"], b""))
+            runs = zip(sent.column("p").to_pylist(), _sort_edges(sent, length))
+            out += [(p, _STRINGS, 0, first, last) for p, (first, last) in runs if first]
         return _rows(out, _TOLD)
 
     def finish(key, texts, told):
         if not texts.num_rows:
             return _rows([], _OUT)
-        group, marks, masks = Group(texts, length), {}, {}
-        for r in told.to_pylist():
-            if r["kind"] == _WHOLE:
-                marks[r["bucket"]] = r["a"]
-            else:
-                masks[r["bucket"]] = (np.frombuffer(r["a"], "<i8"), np.frombuffer(r["b"], "<u8"))
+        texts, data, borders = in_order(texts)
         runs: dict[int, list[dict]] = {}
-        for row, s, e in zip(*(x.tolist() for x in _removed(group, marks, masks, n_buckets))):
+        for row, s, e in zip(*(x.tolist() for x in _removed(borders, told.to_pylist(), length))):
             runs.setdefault(row, []).append({"start": s, "end": e})
         out = []
-        for i, (doc_id, text) in enumerate(zip(group.rows.column("doc_id").to_pylist(), group.texts)):
+        for i, (doc_id, text) in enumerate(zip(texts.column("doc_id").to_pylist(), data)):
             gone = runs.get(i, [])
             edges_ = [0, *(x for g in gone for x in (g["start"], g["end"])), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges_[::2], edges_[1::2])) if gone else text
